@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taproot.llm import chat, decontamination, licences, mixing, ngram_join, quality, secret_scan, token_counts, toxicity
+from taproot.llm import chat, decontamination, licences, mixing, ngram_join, phrases, quality, secret_scan, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -42,6 +42,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
         op4_toxicity,
         op5_token_counts,
         op6_mixing,
+        op7_substring_dedup,
         op8_license_scans,
         op9_benchmark_decontamination,
         op10_secret_scans,
