@@ -14,9 +14,8 @@ misses fewer of its sketch than the sketch has, and at least ``sketch - floor
 (0.25 n)`` members are found: the search loses nothing.  Candidates are then
 verified by exact containment of all shingles.
 
-Items are read in blocks of at most ``BLOCK`` items (by hash of the item's id,
-then of a bounded number of shingles each), so what a task holds has a bound; a
-larger benchmark takes more passes over the documents.
+Items are read in blocks of at most ``BLOCK_SHINGLES`` shingles, so what is
+broadcast has a bound; a larger benchmark takes more passes over the documents.
 """
 
 from __future__ import annotations
@@ -81,48 +80,51 @@ def _matches(found: np.ndarray, table: np.ndarray, owner: np.ndarray) -> np.ndar
     return owner[start + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
 
+def found_in(texts: pa.Array, ix: Index, percent: int):
+    """(row, item's place in the index, shingles found) for each text that contains an item."""
+    words = cut(texts, fold=True)
+    sums = running(words.hashes())
+    last = np.repeat(words.at[1:], words.counts)
+    text = words.text_of()
+    grams, owner, asked_by, asked = [], [], [], []
+    distinct = np.unique(ix.sketch)
+    if not len(distinct):
+        return
+    for w in ix.widths:
+        first = np.flatnonzero(np.arange(len(text)) + w <= last)
+        g = between(sums, first, first + w)
+        hit = distinct[np.minimum(np.searchsorted(distinct, g), len(distinct) - 1)] == g
+        grams.append(g)
+        owner.append(text[first])
+        asked.append(g[hit])
+        asked_by.append(text[first[hit]])
+    asked, asked_by = np.concatenate(asked), np.concatenate(asked_by)
+    by = np.argsort(asked_by, kind="stable")
+    rows, start = np.unique(asked_by[by], return_index=True)
+    for d, mine in zip(rows.tolist(), np.split(asked[by], start[1:]), strict=False):
+        some, times = np.unique(_matches(np.unique(mine), ix.sketch, ix.sketch_item), return_counts=True)
+        some = some[times >= ix.need[some]]
+        if not len(some):
+            continue
+        own = np.unique(np.concatenate([g[slice(*np.searchsorted(o, (d, d + 1)))] for g, o in zip(grams, owner, strict=True)]))
+        whole = np.bincount(_matches(own, ix.hashes, ix.owner), minlength=len(ix.ids))[some]
+        for i, c in zip(some.tolist(), whole.tolist(), strict=True):
+            if 100 * c >= percent * ix.sizes[i]:
+                yield d, i, c
+
+
 def contained(docs: DataFrame, items: list[tuple[object, str]], k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, item_id, n_item, n_found) for documents that contain an item of one block."""
     index = docs.sparkSession.sparkContext.broadcast(indexed(items, k, percent))
 
     def run(batches):
         ix = index.value
-        distinct = np.unique(ix.sketch)
-        if not len(distinct):
-            return
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
-            out: list[tuple] = []
             for lo, hi in slices(texts):
-                words = cut(texts.slice(lo, hi - lo), fold=True)
-                sums = running(words.hashes())
-                last = np.repeat(words.at[1:], words.counts)
-                text = words.text_of()
-                grams, owner, asked_by, asked = [], [], [], []
-                for w in ix.widths:
-                    first = np.flatnonzero(np.arange(len(text)) + w <= last)
-                    g = between(sums, first, first + w)
-                    at = np.minimum(np.searchsorted(distinct, g), len(distinct) - 1)
-                    hit = distinct[at] == g
-                    grams.append(g)
-                    owner.append(text[first])
-                    asked.append(g[hit])
-                    asked_by.append(text[first[hit]])
-                asked, asked_by = np.concatenate(asked), np.concatenate(asked_by)
-                by = np.argsort(asked_by, kind="stable")
-                docs_hit, start = np.unique(asked_by[by], return_index=True)
-                for d, mine in zip(docs_hit.tolist(), np.split(asked[by], start[1:]), strict=True):
-                    some, times = np.unique(_matches(np.unique(mine), ix.sketch, ix.sketch_item), return_counts=True)
-                    some = some[times >= ix.need[some]]
-                    if not len(some):
-                        continue
-                    own = np.unique(np.concatenate([g[slice(*np.searchsorted(o, (d, d + 1)))] for g, o in zip(grams, owner, strict=True)]))
-                    whole = np.bincount(_matches(own, ix.hashes, ix.owner), minlength=len(ix.ids))[some]
-                    for i, c in zip(some.tolist(), whole.tolist(), strict=True):
-                        if 100 * c >= percent * ix.sizes[i]:
-                            out.append((ids[lo + d].as_py(), ix.ids[i], int(ix.sizes[i]), c))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_found"])
+                out = [(ids[lo + d].as_py(), ix.ids[i], int(ix.sizes[i]), c) for d, i, c in found_in(texts.slice(lo, hi - lo), ix, percent)]
+                cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_found"])
 
     return docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_found long")
 
@@ -156,3 +158,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 75)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_found long")
     return out.withColumn("containment", F.col("n_found") / F.col("n_item"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` without the rows that contain an item; all columns stay."""
+    at = docs.columns.index("text")
+    for block in blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(indexed(block, k, percent))
+
+        def run(batches, index=index):
+            for batch in batches:
+                for lo, hi in slices(batch.column(at)):
+                    part = batch.slice(lo, hi - lo)
+                    clean = np.ones(hi - lo, bool)
+                    clean[[d for d, _, _ in found_in(part.column(at), index.value, percent)]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
