@@ -58,6 +58,12 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +77,7 @@ QUERIES = {
         op8_license_scans,
         op9_benchmark_decontamination,
         op10_secret_scans,
+        pipeline,
     )
 }
 ORACLES: dict[str, str] = {}
