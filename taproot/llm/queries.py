@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from taproot.llm import chat, decontamination, licences, mixing, ngram_join, phrases, quality, secret_scan, token_counts, toxicity
+from taproot.llm.oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -80,4 +81,3 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
