@@ -36,10 +36,13 @@ _DICTIONARY = (
     b"function return import from export const static public private class string number boolean object array "
     b"index value name type true false null none self this that with and the for while else error exception "
     b"create update delete select insert where order group limit offset https://www.example.com/path/file.txt "
-    b"0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ \" = ' : { } [ ] ( ) ; , . / _ - + "
+    b"0123456789 abcdefghijklmnopqrstuvwxyz \" = ' : { } [ ] ( ) ; , . / _ - + "
 )
 
 
+_FOLD = {c: c + 32 for c in range(65, 91)}
+
+
 class Novelty:
     """Marginal compressed bytes of a string after its surroundings."""
 
@@ -47,9 +50,12 @@ class Novelty:
         self.around, self.level = around, level
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        """Added bytes for each byte of ``text[start:end]``."""
+        """Added bytes for each byte of ``text[start:end]``, upper and lower case alike."""
+        low = max(0, start - self.around)
+        text, start, end = text[low : end + self.around], start - low, end - low
+        text = text.translate(_FOLD)  # identifiers differ in case alone
         near = text[max(0, start - self.around) : start] + text[end : end + self.around]
-        words = " ".join(sorted(set(re.findall(r"[A-Za-z_]{4,}", near))))
+        words = " ".join(sorted(set(re.findall(r"[a-z_]{4,}", near))))
         primer = zstandard.ZstdCompressionDict(_DICTIONARY + words.encode("utf-8", "replace") + near.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packer = zstandard.ZstdCompressor(level=self.level, dict_data=primer, write_checksum=False, write_content_size=False)
         frame = text[max(0, start - 32) : start].encode("utf-8", "replace")
@@ -116,7 +122,7 @@ def _scan(texts: pa.Array, novelty: Novelty, least: float):
         yield base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1]))), text
 
 
-def secrets(docs: DataFrame, least: float = 0.7) -> DataFrame:
+def secrets(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel.
 
     Spans are kind:start:end in code points, the end exclusive.  Null and empty
@@ -141,7 +147,7 @@ def secrets(docs: DataFrame, least: float = 0.7) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def redacted(docs: DataFrame, least: float = 0.7) -> DataFrame:
+def redacted(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """``docs`` with each span, or run of overlapping ones, replaced by ``[kind]`` in its text.
 
     Texts without a span, null ones too, are unchanged; every row and column stays.
