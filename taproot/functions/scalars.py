@@ -162,7 +162,7 @@ def uri_path(path: Column) -> Column:
 
 def sanitized(text: Column) -> Column:
     """Without control and text-direction characters, which could rewrite a terminal's lines."""
-    return F.regexp_replace(text, "[\\u0000-\\u001f\\u007f-\\u009f\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]", "�")
+    return F.regexp_replace(text, "[\\u0000-\\u001f\\u007f-\\u009f\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]", "\ufffd")
 
 
 def line_and_column(text: Column, offset: Column) -> Column:
