@@ -30,7 +30,7 @@ U = np.uint64
 FREQUENT = 1 << 16
 CACHED = 1_000_000
 #: White space, or what some Unicode versions take for it, other than the six ASCII separators.
-_ODD = "[\x1c-\x1f\u0085  ᠎ -​    ⁠　﻿]"
+_ODD = "[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 
 _loaded: dict[str, object] = {}
 _cache: dict[str, dict[int, int]] = {}

@@ -305,3 +305,14 @@ def test_pipeline_stages(spark):
         if name == "mixing":
             assert out.where(F.col("taken") != F.col("size") * F.col("copies")).count() == 0
         kept = out
+
+
+def test_samples_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 8).astype(np.uint64)]))
+        if ngram_join.linked(a, b, 75):
+            assert ngram_join.may_link(len(a), ngram_join.sample_of(a), len(b), ngram_join.sample_of(b), 75)
+    far = np.arange(400, dtype=np.uint64)
+    assert not ngram_join.may_link(400, ngram_join.sample_of(far), 400, ngram_join.sample_of(far + np.uint64(4000)), 75)
