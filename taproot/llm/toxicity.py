@@ -64,31 +64,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-3, bias: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model under the non-negative risk, by Adam."""
-    xp, n, k = x[positive], len(x), x.shape[1]
-    w, b = np.zeros(k), bias
+def fit_nnpu(row: np.ndarray, col: np.ndarray, positive: np.ndarray, k: int, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model under the non-negative risk, by Adam.
+
+    ``row`` and ``col`` are the places of the ones among ``len(positive)`` rows and
+    ``k`` columns.
+    """
+    n, p = len(positive), int(positive.sum())
+    w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
+    of_p = positive / p
+
+    def score(b):
+        return 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + b, -30, 30)))
+
     for t in range(1, steps + 1):
-        sp = 1 / (1 + np.exp(-np.clip(xp @ w + b, -30, 30)))
-        su = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        down_p, down_u = sp / len(xp), su / n
-        slope_w = x.T @ down_u - prior * (xp.T @ down_p)
-        slope_b = down_u.sum() - prior * down_p.sum()
-        if negative >= 0:
-            up = (sp - 1) / len(xp)
-            slope_w, slope_b = slope_w + prior * (xp.T @ up), slope_b + prior * up.sum()
-        else:
-            slope_w, slope_b = -slope_w, -slope_b
-        slope = np.append(slope_w + decay * w, slope_b)
+        s = score(b)
+        loss = -np.log1p(-np.minimum(s, 1 - 1e-12))
+        negative = loss.mean() - prior * (loss * of_p).sum()
+        down = s / n - prior * s * of_p
+        pull = down + prior * (s - 1) * of_p if negative >= 0 else -down
+        slope = np.append(np.bincount(col, pull[row], k) + decay * w, pull.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held_out: int = 2, most: int = 16_000, features: int = 2048) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held_out: int = 2, most: int = 16_000, features: int = 4096) -> Model:
     """A model from the rows of ``labels`` outside the held-out fold.
 
     ``most`` bounds the documents that training reads; the driver gets, of each,
@@ -138,11 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held_out: int = 2,
 
     got = rows.mapInArrow(hold, "toxic int, features binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
-    x = np.zeros((len(got), len(chosen)), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(bytes(r[1]), np.int32)] = 1
-    start = float(np.log(prior / (1 - prior)))
-    w, b = fit_nnpu(x, np.array([r[0] == 1 for r in got]), prior, bias=start)
+    cols = [np.frombuffer(bytes(r[1]), np.int32) for r in got]
+    row = np.repeat(np.arange(len(got)), [len(c) for c in cols])
+    w, b = fit_nnpu(row, np.concatenate(cols), np.array([r[0] == 1 for r in got]), len(chosen), prior)
     return Model(chosen, w, b)
 
 
