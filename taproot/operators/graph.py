@@ -48,6 +48,8 @@ def _per_profile(left: DataFrame, right: DataFrame, kernel, schema: str) -> Data
         types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
         return pa.table({n: pa.array(cols[n], types[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)})
 
+    # new names for the columns: both sides may come from one table
+    left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (left, right))
     return left.groupBy("profile").cogroup(right.groupBy("profile")).applyInArrow(run, schema)
 
 
