@@ -8,7 +8,7 @@ Components in MapReduce and Beyond", 2014.)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from taproot.llm.shared import saved
@@ -32,9 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        edges = saved(_small(_large(edges)), "stars")
         # At a fixed point every node points at its root, and the sums stay the same.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        seen = Observation()
+        edges = saved(_small(_large(edges)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "stars")
+        now = seen.get
+        if now == before or not now["n"]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now

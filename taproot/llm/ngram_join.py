@@ -4,7 +4,7 @@ A text's set is its distinct five-word shingles (words lower-cased A-Z; a text
 of fewer words has its whole sequence as one shingle, one without words has
 none and links with nothing).  Two texts link when 100 * |A n B| >= 75 * |A u B|.
 
-1. One pass counts shingles into a fixed table of 2**20 numbers.  It orders all
+1. One pass counts shingles into a fixed table of 2**22 numbers.  It orders all
    shingles rare first: by the counted class, then by hash.  Any total order
    gives the same links; this one keeps common shingles out of the prefixes.
 2. A text of n shingles emits its n - ceil(0.75 n) + 1 rarest.  Texts that link
@@ -14,11 +14,14 @@ none and links with nothing).  Two texts link when 100 * |A n B| >= 75 * |A u B|
    first node only, if sizes and positions allow 75 %: the pairs are as many as
    the rows, however large a group of near copies is.  Shingles that the table
    shows as hot are split by a salt; the first nodes of the salts meet again.
-4. Pairs are made distinct, get both texts by two joins and are verified, first
-   by a suffix filter, then by intersection.  Links make components.
-5. Nodes of one bucket that are still in different components are paired with
-   one another under the same filters, verified once, and added.  Nodes already
-   connected need no more pairs, so nothing is lost and no group is squared.
+4. Pairs are made distinct.  Samples of a quarter of either set rule most out
+   that share a passage only; the rest get both texts by two joins and are
+   verified, first by a suffix filter, then by intersection.  Links make components.
+5. While the buckets hold many pairs of nodes in different components, another
+   node of each bucket is paired with its bucket, verified and added: members of
+   a group of near copies find a link with one of many heads.  The pairs that are
+   still left are verified, each once; nodes already connected need no more, so
+   nothing is lost and a group of near copies is not squared.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ from taproot.llm.shared import saved
 from taproot.llm.sketch import summed
 from taproot.llm.words import as_array, between, cut, running, shingle_sets, slices
 
-TABLE = 1 << 20
+TABLE = 1 << 22
 FILTER = 1 << 22
 HOT = 50_000
+ROUNDS = 2
 U = np.uint64
 
 
@@ -170,8 +174,48 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
+def sample_of(found: np.ndarray) -> np.ndarray:
+    """Sorted 16-bit ends of the quarter of a set whose hashes end in two zero bits."""
+    return np.sort(((found[(found & U(3)) == 0] >> U(2)) & U(0xFFFF)).astype(np.uint16))
+
+
+def may_link(size_a: int, a: np.ndarray, size_b: int, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets may link, from their samples: outside them, at most the smaller side is shared.
+
+    Shortened hashes can only make the shared part look larger, so no link is lost.
+    """
+    need = -(-percent * (size_a + size_b) // (100 + percent))
+    both = np.concatenate([np.unique(a), np.unique(b)])
+    both.sort()
+    shared = both[:-1][both[1:] == both[:-1]]
+    if len(shared):  # a value that several members have counts as often as in both
+        ca = np.searchsorted(a, shared, "right") - np.searchsorted(a, shared, "left")
+        cb = np.searchsorted(b, shared, "right") - np.searchsorted(b, shared, "left")
+        inside = int(np.minimum(ca, cb).sum())
+    else:
+        inside = 0
+    return inside + min(size_a - len(a), size_b - len(b)) >= need
+
+
+def _filtered(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the samples don't rule out: a sample is a fraction of a text, so few texts need to move."""
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sample").alias(f"sample_{x}")), x)
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            n_a, n_b = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
+            s_a, s_b = batch.column("sample_a"), batch.column("sample_b")
+            keep = [i for i in range(len(a)) if may_link(n_a[i], np.frombuffer(s_a[i].as_py(), np.uint16), n_b[i], np.frombuffer(s_b[i].as_py(), np.uint16), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "n_b", "sample_a", "sample_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The links among distinct pairs (a, b)."""
+    pairs = saved(_filtered(pairs, texts, percent), "likely")
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -195,7 +239,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def _wanted(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, text) once for each of ``nodes``.
+    """(node, n, sample, text) once for each of ``nodes``.
 
     A bit table of fixed size, passed to all tasks, keeps most other texts out of
     the shuffle; the join that follows is exact.
@@ -222,9 +266,41 @@ def _wanted(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                     if (node := int(found[i])) not in seen:
                         seen.add(node)
                         new.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(found[new].astype(np.int64)), part.take(pa.array(new, pa.int64()))], ["node", "text"])
+                own = part.take(pa.array(new, pa.int64()))
+                sets = list(shingle_sets(cut(own, fold=True), k))
+                yield pa.RecordBatch.from_arrays([pa.array(found[new].astype(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([sample_of(s).tobytes() for s in sets], pa.binary()), own], ["node", "n", "sample", "text"])
+
+    return docs.select("text").mapInArrow(run, "node long, n int, sample binary, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets that nodes of different components share, with each node's root."""
+    rows = rows.select("shingle", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    return rows.join(more, "shingle", "left_semi")
+
+
+def _cross_pairs(mixed: DataFrame) -> tuple[int, int]:
+    """How many pairs of nodes in one bucket are in different components, and how many rows there are."""
+    n = mixed.groupBy("shingle", "root").count().groupBy("shingle").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("x"), F.sum("count").alias("n"))
+    pairs, rows = n.agg(F.sum("x"), F.sum("n")).first()
+    return int((pairs or 0) / 2), rows or 0
+
+
+def _heads(mixed: DataFrame, seed: int) -> DataFrame:
+    """One node of each bucket, another one in each bucket and round."""
+    one = F.min_by(F.struct("node", "size", "pos", "root"), F.xxhash64("node", "shingle", F.lit(seed))).alias("x")
+    return mixed.groupBy("shingle").agg(one).select("shingle", *[F.col(f"x.{c}").alias(f"{c}_b") for c in ("node", "size", "pos", "root")])
+
+
+def _unlike(mixed: DataFrame, others: DataFrame, percent: int, unlike: str = "root <> root_b") -> DataFrame:
+    """Distinct pairs (a, b), a > b, of one bucket and different components that may link."""
+    both = mixed.join(others, "shingle").where(unlike).where(_may_link(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b"), percent))
+    return both.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+
 
-    return docs.select("text").mapInArrow(run, "node long, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -264,21 +340,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     links = saved(_verified(stars, texts, k, percent), "links")
     roots = components(links)
 
-    named = met.select("shingle", "node", "size", "pos").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    named = saved(named.join(mixed, "shingle", "left_semi"), "mixed")
-    a, b = (named.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "pos", "root")]) for x in "ab")
-    rest = (
-        a.join(b, "shingle")
-        .where("root_a < root_b")
-        .where(_may_link(F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"), percent))
-        .select(F.greatest("node_a", "node_b").alias("x"), F.least("node_a", "node_b").alias("y"))
-        .distinct()
-    )
-    tried = stars.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-    rest = rest.join(tried, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = _verified(rest, texts, k, percent)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    mixed = saved(_mixed(met.select("shingle", "node", "size", "pos").distinct(), roots), "mixed")
+    for seed in range(ROUNDS):
+        pairs, rows_left = _cross_pairs(mixed)
+        if pairs <= 2 * rows_left:
+            break
+        pairs = saved(_unlike(mixed, _heads(mixed, seed), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        roots = _joined_roots(roots, _verified(pairs, texts, k, percent))
+        tried = tried.union(pairs)
+        mixed = saved(_mixed(mixed, roots), "mixed")
+    pairs = _unlike(mixed, mixed.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "root")]), percent, "root < root_b")
+    roots = _joined_roots(roots, _verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, k, percent))
 
     classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
