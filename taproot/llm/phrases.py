@@ -219,12 +219,14 @@ def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
 
     anchors = _anchors(docs, width)
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = saved(often, "anchors")  # a plain table: Spark can split a join's hot keys only where no aggregation is below it
     hits = anchors.join(often, "anchor").groupBy("class").agg(F.collect_set("pos").alias("spots"))
     hits = hits.join(copies, "class", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     texts = saved(_texts(docs, saved(hits, "hits")), "texts")
 
     windows = _counted(texts, width)
     confirmed = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
+    confirmed = saved(confirmed, "windows")
     own = _counted(texts.where("not copied"), width)
     starts = own.join(confirmed, "window").groupBy("class").agg(F.collect_list("start").alias("starts"))
     found = _located(texts.where("not copied").select("class", "text").join(starts, "class"), width)
