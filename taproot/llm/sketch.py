@@ -11,6 +11,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SLICES = 32
+FAN_IN = 256
+
+
+def _narrow(table: np.ndarray) -> bytes:
+    """The counts in the fewest bytes each that hold the largest."""
+    return table.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if t is np.int64 or table.max(initial=0) <= np.iinfo(t).max)).tobytes()
+
+
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(blob)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n]).astype(np.int64)
 
 
 def summed(rows: DataFrame, size: int, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
@@ -31,19 +42,21 @@ def summed(rows: DataFrame, size: int, keys: Callable[[pa.RecordBatch], Iterator
                 else:
                     np.add.at(table, ks, 1)
         if table.any():
-            bin = TaskContext.get().partitionId() // 256
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([bin] * SLICES, pa.int32()), pa.array([zlib.compress(table[i * part : (i + 1) * part].tobytes(), 1) for i in range(SLICES)], pa.binary())], ["slice", "bin", "counts"])
+            bin = TaskContext.get().partitionId() // FAN_IN
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([bin] * SLICES, pa.int32()), pa.array([zlib.compress(_narrow(table[i * part : (i + 1) * part]), 1) for i in range(SLICES)], pa.binary())], ["slice", "bin", "counts"])
 
     def add(table):
         total = np.zeros(part, np.int64)
         for blob in table["counts"]:
-            total += np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
-        return pa.table({"slice": table["slice"][:1], "bin": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            total += _wide(blob.as_py(), part)
+        return pa.table({"slice": table["slice"][:1], "bin": pa.array([table["bin"][0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([zlib.compress(_narrow(total), 1)], pa.binary())})
 
-    # Two levels, so that no task adds up more than a few hundred or thousand tables.
+    # Three rounds, each of at most FAN_IN tables a group, for up to FAN_IN ** 3 tasks.
     schema = "slice int, bin int, counts binary"
-    found = rows.mapInArrow(count, schema).groupBy("slice", "bin").applyInArrow(add, schema)
+    found = rows.mapInArrow(count, schema)
+    for _ in range(3):
+        found = found.groupBy("slice", "bin").applyInArrow(add, schema)
     out = np.zeros(size, np.int64)
-    for i, _, blob in found.groupBy("slice").applyInArrow(add, schema).collect():
-        out[i * part : (i + 1) * part] = np.frombuffer(zlib.decompress(blob), np.int64)
+    for i, _, blob in found.collect():
+        out[i * part : (i + 1) * part] += _wide(blob, part)
     return out
