@@ -15,6 +15,7 @@ Texts with special strings or white space outside ASCII go to the library whole.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from taproot.llm.words import _BYTE, Words, between, cut, running, slices
 
 U = np.uint64
 FREQUENT = 1 << 16
+FAN_IN = 128
 CACHED = 1_000_000
 #: White space, or what some Unicode versions take for it, other than the six ASCII separators.
 _ODD = "[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
@@ -118,13 +120,13 @@ def frequent_units(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[int
     """Tier one: hash to token count of the most frequent units of all texts.
 
     Each task holds counts of at most 4 * ``most`` units at a time (rarer ones are
-    let go) and passes on ``most``; packed tables are merged in two rounds.  What
+    let go) and passes on ``most // 4``; packed tables are merged in three rounds.  What
     is let go only costs an encoding later, never a wrong count.
     """
 
-    def packed(count: dict, text: dict) -> bytes:
-        top = sorted(count, key=lambda h: (-count[h], h))[:most]
-        return pickle.dumps([(h, count[h], text[h]) for h in top])
+    def packed(count: dict, text: dict, n: int) -> bytes:
+        top = sorted(count, key=lambda h: (-count[h], h))[:n]
+        return zlib.compress(pickle.dumps([(h, count[h], text[h]) for h in top]), 1)
 
     def task(batches):
         count: dict[int, int] = {}
@@ -145,24 +147,26 @@ def frequent_units(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[int
                     top = sorted(count, key=count.__getitem__, reverse=True)[:most]
                     count, text = {h: count[h] for h in top}, {h: text[h] for h in top}
         if count:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 64], pa.int32()), pa.array([packed(count, text)], pa.binary())], ["bin", "units"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int32()), pa.array([packed(count, text, most // 4)], pa.binary())], ["bin", "units"])
 
     def merge(table):
         count: dict[int, int] = {}
         text: dict[int, bytes] = {}
         for blob in table["units"]:
-            for h, c, t in pickle.loads(blob.as_py()):
+            for h, c, t in pickle.loads(zlib.decompress(blob.as_py())):
                 count[h] = count.get(h, 0) + c
                 text[h] = t
             if len(count) > 4 * most:
                 top = sorted(count, key=count.__getitem__, reverse=True)[:most]
                 count, text = {h: count[h] for h in top}, {h: text[h] for h in top}
-        return pa.table({"bin": pa.array([0], pa.int32()), "units": pa.array([packed(count, text)], pa.binary())})
+        return pa.table({"bin": pa.array([table["bin"][0].as_py() // FAN_IN], pa.int32()), "units": pa.array([packed(count, text, most)], pa.binary())})
 
     schema = "bin int, units binary"
-    found = docs.mapInArrow(task, schema).groupBy("bin").applyInArrow(merge, schema)
-    found = found.withColumn("bin", F.lit(0)).groupBy("bin").applyInArrow(merge, schema).collect()
-    top = pickle.loads(bytes(found[0][1])) if found else []
+    found = docs.mapInArrow(task, schema)
+    for _ in range(3):  # FAN_IN tables a group at most, for up to FAN_IN ** 3 tasks
+        found = found.groupBy("bin").applyInArrow(merge, schema)
+    found = found.collect()
+    top = pickle.loads(zlib.decompress(found[0][1])) if found else []
     lengths = _counter(path).counts([t.decode() for _, _, t in top])
     return {h: n for (h, _, _), n in zip(top, lengths, strict=True)}
 
