@@ -26,7 +26,7 @@ def outcomes(declarations: DataFrame, evidence: DataFrame, blockers: DataFrame,
     whole = blockers.where("package is null").select("workspace", F.lit(True).alias("blocked_all")).distinct()
     part = blockers.where("package is not null").select("workspace", "package", F.lit(True).alias("blocked_one")).distinct()
     at_root = declared.where(F.col("workspace") == root).select("package", F.col("categories").alias("root_categories"))
-    rows = rows.join(F.broadcast(whole), "workspace", "left").join(part, ["workspace", "package"], "left").join(at_root, "package", "left")
+    rows = rows.join(whole, "workspace", "left").join(part, ["workspace", "package"], "left").join(at_root, "package", "left")
     blocked = F.coalesce("blocked_all", "blocked_one", F.lit(False))
     peer, optional = (F.array_contains("categories", c) for c in ("peer", "optional"))
     kind = (

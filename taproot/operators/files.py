@@ -19,7 +19,7 @@ def file_status(files: DataFrame, entries: DataFrame, edges: DataFrame, blockers
     """
     live = graph.reachable(edges, entries, limit).withColumn("live", F.lit(True))
     blocked = blockers.join(live, ["profile", "path"], "left_semi").select("profile").distinct().withColumn("blocked", F.lit(True))
-    rows = profiles.join(F.broadcast(blocked), "profile", "left").join(files.select("path", "workspace", "fatal"))
+    rows = profiles.join(blocked, "profile", "left").join(files.select("path", "workspace", "fatal"))
     rows = rows.join(live, ["profile", "path"], "left")
     status = F.when(F.col("fatal"), "incomplete").when(F.col("live"), "reachable").when(F.col("blocked"), "incomplete").otherwise("unreachable")
     return rows.select("profile", "path", "workspace", status.alias("status"))

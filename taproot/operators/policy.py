@@ -12,7 +12,7 @@ def suppressed(findings: DataFrame, blocking: DataFrame, root: str = ".") -> Dat
     """``findings`` with suppressed: its workspace, or the root, holds a blocking diagnostic."""
     stop = blocking.select("workspace", F.lit(True).alias("stop")).distinct()
     everywhere = not blocking.where(F.col("workspace") == root).isEmpty()
-    return findings.join(F.broadcast(stop), "workspace", "left").withColumn("suppressed", F.coalesce("stop", F.lit(False)) | F.lit(everywhere)).drop("stop")
+    return findings.join(stop, "workspace", "left").withColumn("suppressed", F.coalesce("stop", F.lit(False)) | F.lit(everywhere)).drop("stop")
 
 
 def _matches(pattern: str):
@@ -36,13 +36,13 @@ def retained(findings: DataFrame, rules: list[dict]) -> DataFrame:
 
 def stale_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
     """Rules (rule, regex) whose pattern no file matches."""
-    hits = files.select("path").distinct().join(F.broadcast(rules), F.expr("path rlike regex"), "inner").select("rule").distinct()
+    hits = files.select("path").distinct().join(rules, F.expr("path rlike regex"), "inner").select("rule").distinct()
     return rules.join(hits, "rule", "left_anti")
 
 
 def above(findings: DataFrame, thresholds: DataFrame, usual: str = "medium") -> DataFrame:
     """Findings whose confidence reaches their workspace's threshold."""
-    rows = findings.join(F.broadcast(thresholds.select("workspace", "threshold")), "workspace", "left")
+    rows = findings.join(thresholds.select("workspace", "threshold"), "workspace", "left")
     return rows.where(scalars.confidence_rank(F.col("confidence")) >= scalars.confidence_rank(F.coalesce("threshold", F.lit(usual)))).drop("threshold")
 
 
