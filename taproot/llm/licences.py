@@ -23,7 +23,7 @@ def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     out = F.regexp_replace(out, F.lit(_COPYRIGHT), F.lit(" "))
     out = F.trim(F.regexp_replace(out, F.lit("[^\\p{L}\\p{N}]+"), F.lit(" ")))
-    # One pass over all spellings: only forms that differ are looked for.
+    # a form that has no other spelling in the text costs one scan
     for usual, others in SPELLINGS.items():
         out = F.regexp_replace(out, F.lit(f"\\b(?:{'|'.join(others)})\\b"), F.lit(usual))
     return out
