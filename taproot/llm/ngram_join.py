@@ -14,7 +14,7 @@ none and links with nothing).  Two texts link when 100 * |A n B| >= 75 * |A u B|
    first node only, if sizes and positions allow 75 %: the pairs are as many as
    the rows, however large a group of near copies is.  Shingles that the table
    shows as hot are split by a salt; the first nodes of the salts meet again.
-4. Pairs are made distinct.  Samples of a quarter of either set rule most out
+4. Pairs are made distinct.  Signs, 512 parity bits of either set, rule most out
    that share a passage only; the rest get both texts by two joins and are
    verified, first by a suffix filter, then by intersection.  Links make components.
 5. While the buckets hold many pairs of nodes in different components, another
@@ -30,7 +30,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taproot.llm.links import components
@@ -42,6 +42,7 @@ TABLE = 1 << 22
 FILTER = 1 << 22
 HOT = 50_000
 ROUNDS = 2
+SIGNS = [f"s{i}" for i in range(8)]
 U = np.uint64
 
 
@@ -174,48 +175,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
-def sample_of(found: np.ndarray) -> np.ndarray:
-    """Sorted 16-bit ends of the quarter of a set whose hashes end in two zero bits."""
-    return np.sort(((found[(found & U(3)) == 0] >> U(2)) & U(0xFFFF)).astype(np.uint16))
+def sign_of(found: np.ndarray) -> np.ndarray:
+    """512 bits of a set: of the members that fall on a bit, whether they are odd in number."""
+    bits = np.bincount(((found >> U(3)) & U(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def may_link(size_a: int, a: np.ndarray, size_b: int, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets may link, from their samples: outside them, at most the smaller side is shared.
-
-    Shortened hashes can only make the shared part look larger, so no link is lost.
-    """
+    """Whether two sets may link, from their signs: bits that differ are at most as many as members in one set only."""
     need = -(-percent * (size_a + size_b) // (100 + percent))
-    both = np.concatenate([np.unique(a), np.unique(b)])
-    both.sort()
-    shared = both[:-1][both[1:] == both[:-1]]
-    if len(shared):  # a value that several members have counts as often as in both
-        ca = np.searchsorted(a, shared, "right") - np.searchsorted(a, shared, "left")
-        cb = np.searchsorted(b, shared, "right") - np.searchsorted(b, shared, "left")
-        inside = int(np.minimum(ca, cb).sum())
-    else:
-        inside = 0
-    return inside + min(size_a - len(a), size_b - len(b)) >= need
-
-
-def _filtered(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the samples don't rule out: a sample is a fraction of a text, so few texts need to move."""
-    for x in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sample").alias(f"sample_{x}")), x)
+    return int(np.unpackbits((a ^ b).view(np.uint8)).sum()) <= size_a + size_b - 2 * need
 
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            n_a, n_b = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
-            s_a, s_b = batch.column("sample_a"), batch.column("sample_b")
-            keep = [i for i in range(len(a)) if may_link(n_a[i], np.frombuffer(s_a[i].as_py(), np.uint16), n_b[i], np.frombuffer(s_b[i].as_py(), np.uint16), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], ["a", "b"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "sample_a", "sample_b").mapInArrow(run, "a long, b long")
+def _near_signs(a: list[str], b: list[str], size_a: Column, size_b: Column, percent: int) -> Column:
+    """``may_link`` as an expression over the columns of two signs."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)), F.lit(0))
+    need = F.ceil(percent * (size_a + size_b) / (100 + percent) - 1e-9)
+    return differ <= size_a + size_b - 2 * need
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among distinct pairs (a, b)."""
-    pairs = saved(_filtered(pairs, texts, percent), "likely")
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among distinct pairs (a, b) of nodes; only their texts are read and moved."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = saved(_wanted(docs, nodes, k, signs=False), "texts")
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -238,8 +220,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return two.mapInArrow(run, "a long, b long")
 
 
-def _wanted(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, sample, text) once for each of ``nodes``.
+def _wanted(docs: DataFrame, nodes: DataFrame, k: int, signs: bool) -> DataFrame:
+    """(node, text) or (node, s0 to s7) once for each of ``nodes``.
 
     A bit table of fixed size, passed to all tasks, keeps most other texts out of
     the shuffle; the join that follows is exact.
@@ -267,15 +249,20 @@ def _wanted(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                         seen.add(node)
                         new.append(i)
                 own = part.take(pa.array(new, pa.int64()))
-                sets = list(shingle_sets(cut(own, fold=True), k))
-                yield pa.RecordBatch.from_arrays([pa.array(found[new].astype(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([sample_of(s).tobytes() for s in sets], pa.binary()), own], ["node", "n", "sample", "text"])
+                ids = pa.array(found[new].astype(np.int64))
+                if signs:
+                    each = np.array([sign_of(s) for s in shingle_sets(cut(own, fold=True), k)], np.int64).reshape(-1, len(SIGNS))
+                    yield pa.RecordBatch.from_arrays([ids, *map(pa.array, np.ascontiguousarray(each.T))], ["node", *SIGNS])
+                else:
+                    yield pa.RecordBatch.from_arrays([ids, own], ["node", "text"])
 
-    return docs.select("text").mapInArrow(run, "node long, n int, sample binary, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    schema = "node long, " + (", ".join(f"{s} long" for s in SIGNS) if signs else "text string")
+    return docs.select("text").mapInArrow(run, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the buckets that nodes of different components share, with each node's root."""
-    rows = rows.select("shingle", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.select("shingle", "node", "size", "pos", *SIGNS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     return rows.join(more, "shingle", "left_semi")
 
@@ -289,13 +276,14 @@ def _cross_pairs(mixed: DataFrame) -> tuple[int, int]:
 
 def _heads(mixed: DataFrame, seed: int) -> DataFrame:
     """One node of each bucket, another one in each bucket and round."""
-    one = F.min_by(F.struct("node", "size", "pos", "root"), F.xxhash64("node", "shingle", F.lit(seed))).alias("x")
-    return mixed.groupBy("shingle").agg(one).select("shingle", *[F.col(f"x.{c}").alias(f"{c}_b") for c in ("node", "size", "pos", "root")])
+    one = F.min_by(F.struct("node", "size", "pos", "root", *SIGNS), F.xxhash64("node", "shingle", F.lit(seed))).alias("x")
+    return mixed.groupBy("shingle").agg(one).select("shingle", *[F.col(f"x.{c}").alias(f"{c}_b") for c in ("node", "size", "pos", "root", *SIGNS)])
 
 
 def _unlike(mixed: DataFrame, others: DataFrame, percent: int, unlike: str = "root <> root_b") -> DataFrame:
     """Distinct pairs (a, b), a > b, of one bucket and different components that may link."""
     both = mixed.join(others, "shingle").where(unlike).where(_may_link(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b"), percent))
+    both = both.where(_near_signs(SIGNS, [f"{s}_b" for s in SIGNS], F.col("size"), F.col("size_b"), percent))
     return both.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
 
 
@@ -334,24 +322,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         lone = lone.groupBy("shingle", "salt").agg(F.min(F.struct("size", "node", "pos")).alias("x")).select("shingle", F.lit(0).alias("salt"), "x.size", "x.pos", "x.node")
         heads = saved(_buckets(lone, ["shingle"]), "heads")
         met = met.unionByName(heads)
-    stars = met.where("node <> first").where(_may_link(F.col("size"), F.col("pos"), F.col("first_size"), F.col("first_pos"), percent)).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    stars = saved(stars, "pairs")
-    texts = saved(_wanted(able, met.select("node").distinct(), k), "texts")
-    links = saved(_verified(stars, texts, k, percent), "links")
-    roots = components(links)
-
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    mixed = saved(_mixed(met.select("shingle", "node", "size", "pos").distinct(), roots), "mixed")
+    signs = saved(_wanted(able, met.select("node").distinct(), k, signs=True), "signs")
+    stars = met.where("node <> first").where(_may_link(F.col("size"), F.col("pos"), F.col("first_size"), F.col("first_pos"), percent))
+    stars = stars.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("first").alias("b"), F.col("first_size").alias("size_b")).distinct()
+    for x in "ab":
+        stars = stars.join(signs.select(F.col("node").alias(x), *[F.col(s).alias(f"{s}_{x}") for s in SIGNS]), x)
+    stars = stars.where(_near_signs(*[[f"{s}_{x}" for s in SIGNS] for x in "ab"], F.col("size_a"), F.col("size_b"), percent))
+    stars = saved(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    roots = components(_verified(stars, able, k, percent))
+
+    tried = stars
+    mixed = saved(_mixed(met.select("shingle", "node", "size", "pos").distinct().join(signs, "node"), roots), "mixed")
     for seed in range(ROUNDS):
         pairs, rows_left = _cross_pairs(mixed)
         if pairs <= 2 * rows_left:
             break
         pairs = saved(_unlike(mixed, _heads(mixed, seed), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        roots = _joined_roots(roots, _verified(pairs, texts, k, percent))
+        roots = _joined_roots(roots, _verified(pairs, able, k, percent))
         tried = tried.union(pairs)
         mixed = saved(_mixed(mixed, roots), "mixed")
-    pairs = _unlike(mixed, mixed.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "root")]), percent, "root < root_b")
-    roots = _joined_roots(roots, _verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, k, percent))
+    others = mixed.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "root", *SIGNS)])
+    pairs = saved(_unlike(mixed, others, percent, "root < root_b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        roots = _joined_roots(roots, _verified(pairs, able, k, percent))
 
     classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
