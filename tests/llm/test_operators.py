@@ -16,6 +16,7 @@ from taproot.llm import words as W
 from taproot.llm.licence_texts import TEXTS
 from tests.llm import brute
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, host string, n int"
 
 
@@ -167,6 +168,23 @@ def test_novel_secrets():
     assert find("signature of functionReturnImportExport1") == []
 
 
+@pytest.mark.parametrize("symbols", ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", BASE64[:62], BASE64])
+def test_novelty_does_not_fall_with_length(symbols):
+    rng, novelty = random.Random(len(symbols)), secret_scan.Novelty()
+    before = "Authorization: Bearer "
+    for n in (16, 17, 20, 24, 32, 40, 64, 65, 88, 128, 200, 344, 400, 512):
+        for _ in range(20):
+            key = "".join(rng.choices(symbols, k=n))
+            assert novelty(before + key, len(before), len(before) + n) >= 0.75, key
+
+
+def test_long_names_are_not_novel():
+    names = "reader writer buffer signal holder window folder market summer garden winter number".split()
+    rng = random.Random(3)
+    name = "-".join(rng.choices(names, k=40)) + "-7"
+    assert secret_scan.novel_spans(f"session {name}", [], secret_scan.Novelty(), 0.75) == []
+
+
 def test_redaction(spark):
     rows = [(1, "x token=abcdef1234 y"), (2, None), (3, "clean"), (4, "secret=deadbeefdeadbeefdeadbeef00")]
     df = frame(spark, rows)
