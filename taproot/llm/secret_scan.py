@@ -14,6 +14,7 @@ are as uneven as those of words count as known.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -29,7 +30,7 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is the pattern with + and shorter ones dropped
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 _SENSITIVE = re.compile(r"pass|pwd|secret|token|api.?key|private.?key|access.?key|auth|bearer|credential|signature|session", re.I | re.A)
 
 # What source code near a string commonly holds.
@@ -63,11 +64,17 @@ def _wordy(s: str) -> bool:
 class Novelty:
     """Marginal compressed bytes of a string after its surroundings."""
 
-    def __init__(self, around: int = 512):
-        self.around = around
+    def __init__(self, around: int = 512, piece: int = 256):
+        self.around, self.piece = around, piece
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        """Added bytes for each byte of ``text[start:end]``, upper and lower case alike; 0 for long words."""
+        """Added bytes for each byte of ``text[start:end]``, or of the piece of it that adds most; pieces overlap by half."""
+        last = max(start, end - self.piece)
+        starts = [*range(start, last, self.piece // 2), last]
+        return max(self._of(text, x, min(end, x + self.piece)) for x in starts)
+
+    def _of(self, text: str, start: int, end: int) -> float:
+        """Upper and lower case are alike; long words add nothing."""
         low = max(0, start - self.around)
         text, start, end = text[low : end + self.around], start - low, end - low
         text = text.translate(_FOLD)  # identifiers differ in case alone
@@ -94,7 +101,10 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, str, int]], novelty: Novelty, least: float, reach: int = 48) -> list[tuple[int, str, int]]:
-    """Incompressible candidates within ``reach`` characters after a sensitive word, outside base spans."""
+    """Incompressible candidates within ``reach`` characters after a sensitive word, their parts outside base spans.
+
+    A candidate counts whole if any part of 16 characters or more, as cut by base spans, does.
+    """
     out = []
     marks = [m.end() for m in _SENSITIVE.finditer(text)]
     if not marks:
@@ -109,10 +119,15 @@ def novel_spans(text: str, base: list[tuple[int, str, int]], novelty: Novelty, l
             continue
         while begin < len(taken) and taken[begin][1] <= s:
             begin += 1
-        if begin < len(taken) and any(x < e and s < y for x, y in taken[begin : begin + 8]):
-            continue
-        if novelty(text, s, e) >= least:
-            out.append((s, "novel", e))
+        parts, done = [], s
+        for x, y in itertools.takewhile(lambda t: t[0] < e, itertools.islice(taken, begin, None)):
+            if x > done:
+                parts.append((done, x))
+            done = max(done, y)
+        if done < e:
+            parts.append((done, e))
+        if any(y - x >= 16 and _mixed(text[x:y]) and novelty(text, x, y) >= least for x, y in parts):
+            out += [(x, "novel", y) for x, y in parts]
     return out
 
 

@@ -185,6 +185,20 @@ def test_long_names_are_not_novel():
     assert secret_scan.novel_spans(f"session {name}", [], secret_scan.Novelty(), 0.75) == []
 
 
+def test_long_tokens_are_candidates():
+    rng = random.Random(5)
+    find = lambda t: secret_scan.novel_spans(t, secret_scan.base_spans(t), secret_scan.Novelty(), 0.75)
+    for symbols in (BASE64, BASE64[26:62].upper(), "0123456789ABCDEF"):
+        for n in (512, 513, 1000, 5000):
+            key = "".join(rng.choices(symbols, k=n))
+            assert find(f"auth: {key} .") == [(6, "novel", 6 + n)]
+    key = "".join(rng.choices(BASE64, k=300))
+    assert find(f"auth: {'z1' * 2000}{key}") == [(6, "novel", 4306)]  # one part is enough
+    assert find(f"auth: {'z1' * 2000}") == []
+    one, two = ("X" + "".join(rng.choices("0123456789ABCDEF", k=299)) + "X" for _ in range(2))
+    assert find(f"auth: {one}{'12' * 15}{two}") == [(6, "novel", 307), (337, "novel", 638)]  # around a base span
+
+
 def test_redaction(spark):
     rows = [(1, "x token=abcdef1234 y"), (2, None), (3, "clean"), (4, "secret=deadbeefdeadbeefdeadbeef00")]
     df = frame(spark, rows)
