@@ -2,7 +2,7 @@
 
 Base spans follow three patterns.  The method adds strings that no pattern names:
 a candidate is a long token of mixed characters with a sensitive word shortly
-before it.  It is compressed after a dictionary of common identifiers and the
+before or after it, directly after a reported one, or in a private key block.  It is compressed after a dictionary of common identifiers and the
 code around it; the bytes that it adds, over what the same frame costs with
 nothing in it, are its novelty.  Prose, identifiers and strings that the
 surroundings repeat add little; keys add nearly all of their length.  Only
@@ -13,6 +13,7 @@ are as uneven as those of words count as known.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -33,6 +34,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is the pattern
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 _SENSITIVE = re.compile(r"pass|pwd|secret|token|api.?key|private.?key|access.?key|auth|bearer|credential|signature|session", re.I | re.A)
 
+_BLOCK = re.compile(r"-----(BEGIN) [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----|-----END ")
+_PROSE = re.compile(r"[A-Za-z]+ [A-Za-z]+")
+_RUN = re.compile(r"(?:(?<=\\)[nrt])?([A-Za-z0-9+/=]*)")
+_GAP = re.compile(r"(?:\\[nrt]|[\W_])*")  # no letters or digits, but for line ends as escapes
+_PADDED = re.compile(r"(?:\\[nrt]|[\W_])*?([A-Za-z0-9+/]{2,15}={1,2})(?![A-Za-z0-9+/_=-])")
+
 # What source code near a string commonly holds.
 _DICTIONARY = (
     b"password passwd pwd secret token api_key apikey access_key private_key public_key client_id client_secret "
@@ -101,33 +108,77 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, str, int]], novelty: Novelty, least: float, reach: int = 48) -> list[tuple[int, str, int]]:
-    """Incompressible candidates within ``reach`` characters after a sensitive word, their parts outside base spans.
-
-    A candidate counts whole if any part of 16 characters or more, as cut by base spans, does.
+    """Incompressible candidates in reach, their parts outside base spans.
+
+    In reach are candidates within ``reach`` characters of a sensitive word on
+    either side, those that directly follow a reported one or an assign or access
+    span, and those in a private key block.  A candidate counts whole if any part
+    of 16 characters or more, as cut by base spans, does.  A short padded last line
+    belongs to the candidate before it; what follows a reported span in a key block
+    belongs to the key.
     """
-    out = []
-    marks = [m.end() for m in _SENSITIVE.finditer(text)]
+    marks = [m.span() for m in _SENSITIVE.finditer(text)]
     if not marks:
-        return out
+        return []
+    out, ends = [], [y for _, y in marks]
+    blocks = [(x.end(), y.start()) for x, y in itertools.pairwise(_BLOCK.finditer(text)) if x[1] and not y[1]]
     taken = sorted((s, e) for s, _, e in base)
-    at = begin = 0
+    leads = sorted(e for _, k, e in base if k != "hex")
+    at = begin = lead = block = 0
+    last = None  # where the last reported string ends
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
-        while at < len(marks) and marks[at] <= s:
+        while at < len(marks) and ends[at] <= s:
             at += 1
-        if not at or s - marks[at - 1] > reach or not _mixed(m[0]):
-            continue
         while begin < len(taken) and taken[begin][1] <= s:
             begin += 1
-        parts, done = [], s
-        for x, y in itertools.takewhile(lambda t: t[0] < e, itertools.islice(taken, begin, None)):
-            if x > done:
-                parts.append((done, x))
-            done = max(done, y)
-        if done < e:
-            parts.append((done, e))
+        while lead < len(leads) and leads[lead] <= s:
+            last = max(last or 0, leads[lead])
+            lead += 1
+        while block < len(blocks) and blocks[block][1] <= s:
+            block += 1
+        near = at and s - ends[at - 1] <= reach
+        if not near:
+            after = bisect.bisect_left(marks, (e, 0), at)
+            near = after < len(marks) and marks[after][0] - e <= reach
+        near = near or (block < len(blocks) and blocks[block][0] <= s)
+        near = near or (last is not None and 0 <= s - last <= reach and _GAP.fullmatch(text, last, s))
+        if not near or not _mixed(m[0]):
+            continue
+        parts = _outside(taken, begin, s, e)
         if any(y - x >= 16 and _mixed(text[x:y]) and novelty(text, x, y) >= least for x, y in parts):
             out += [(x, "novel", y) for x, y in parts]
+            last = e
+            if tail := _PADDED.match(text, e, e + reach + 18):
+                rest = _outside(taken, begin, *tail.span(1))
+                out += [(x, "novel", y) for x, y in rest]
+    return sorted(set(out) | _rest_of_blocks(text, blocks, sorted(taken + [(s, e) for s, _, e in out])))
+
+
+def _outside(taken: list[tuple[int, int]], begin: int, start: int, end: int) -> list[tuple[int, int]]:
+    """Parts of start:end outside the sorted spans from ``begin`` on."""
+    parts, done = [], start
+    while begin < len(taken) and taken[begin][0] < end:
+        x, y = taken[begin]
+        if x > done:
+            parts.append((done, x))
+        done = max(done, y)
+        begin += 1
+    return parts + [(done, end)] if done < end else parts
+
+
+def _rest_of_blocks(text: str, blocks: list[tuple[int, int]], spans: list[tuple[int, int]]) -> set[tuple[int, str, int]]:
+    """What no span covers of the runs of key characters that follow a span in its block."""
+    out = set()
+    for low, high in blocks:
+        begin = bisect.bisect_left(spans, (low, 0))
+        if begin == len(spans) or spans[begin][0] >= high or _PROSE.search(text, spans[begin][0], high):
+            continue
+        for m in _RUN.finditer(text, spans[begin][0], high):
+            if m[1]:
+                while begin < len(spans) and spans[begin][1] <= m.start(1):
+                    begin += 1
+                out.update((x, "novel", y) for x, y in _outside(spans, begin, *m.span(1)))
     return out
 
 

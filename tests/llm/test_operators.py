@@ -199,6 +199,33 @@ def test_long_tokens_are_candidates():
     assert find(f"auth: {one}{'12' * 15}{two}") == [(6, "novel", 307), (337, "novel", 638)]  # around a base span
 
 
+def test_whole_keys_are_reported():
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choices(BASE64, k=n))
+
+    def left(text):
+        base = secret_scan.base_spans(text)
+        spans = base + secret_scan.novel_spans(text, base, secret_scan.Novelty(), 0.75)
+        return "".join(c for i, c in enumerate(text) if not any(s <= i < e for s, _, e in spans))
+
+    for last in (64, 20, 15, 9, 1):
+        lines = [line(64) for _ in range(12)] + [line(last)]
+        for end, kind in (("\n", "RSA "), ("\r\n", ""), ("\\n", ""), ("\n    ", "EC ")):
+            text = f"see -----BEGIN {kind}PRIVATE KEY-----{end}{end.join(lines)}{end}-----END {kind}PRIVATE KEY----- and more"
+            rest = left(text)
+            assert not any(x in rest for x in lines if len(x) > 1) and len(rest) <= len(text) - sum(map(len, lines))
+            assert rest.startswith("see -----BEGIN") and rest.endswith("-----END " + kind + "PRIVATE KEY----- and more")
+    lines = [line(64) for _ in range(5)] + ["aB3dE6=="]
+    assert left("Proc-Type: 4\n" * 9 + "private key\n" + "\n".join(lines) + "\nThe next").split() == ("Proc-Type: 4\n" * 9 + "private key The next").split()
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,AABBCCDDEEFF0011\n\n"
+    assert not any(x in left(head + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----") for x in lines)
+    key = line(40)
+    assert left(f"{key} is the password") == " is the password"
+    assert left(f"{key} is what was used {'x ' * 30} password").startswith(key)
+    assert left("-----BEGIN PRIVATE KEY----- is a line\nand so on\n-----END PRIVATE KEY-----").count("so on") == 1
+    assert left(f"{key}\nprivate key of words {'w ' * 40} public_key {'w ' * 40} {key[::-1]}").endswith(key[::-1])
+
+
 def test_redaction(spark):
     rows = [(1, "x token=abcdef1234 y"), (2, None), (3, "clean"), (4, "secret=deadbeefdeadbeefdeadbeef00")]
     df = frame(spark, rows)
