@@ -4,7 +4,7 @@ A text is made canonical: lower case A-Z, copyright lines out, equivalent
 spellings alike, everything but letters and digits to single spaces.  The SHA-256
 of that is hash-joined to the digests of known licences; so is that of each line
 that speaks of a licence, to those of known notices.  The known texts are a fixed
-table of a few rows, so it is broadcast.
+table of a few rows, so it is broadcast.  A caller may give digests of more.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproot.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
+from taproot.llm.licence_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = "(?m)^[ \\t#*/;%-]*(?:copyright(?: \\(c\\)| \u00a9)?|\\(c\\)|\u00a9)[ :]*(?:[0-9<\\[{y]|by )[^\\n]*$|^[ \\t#*/;%-]*all rights reserved\\.?[ \\t]*$"
@@ -39,22 +39,33 @@ def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.range(1).select(row).select(digest(F.col("known_text")).alias("digest"), "licence").distinct()
 
 
-def licences(docs: DataFrame) -> DataFrame:
+def known_texts(spark: SparkSession) -> DataFrame:
+    """(digest, licence): one row for each text of TEXTS and each of DIGESTS."""
+    longer = F.explode(F.create_map(*[F.lit(x) for n, ds in DIGESTS.items() for d in ds for x in (d, n)])).alias("digest", "licence")
+    return known(spark, TEXTS).union(spark.range(1).select(longer))
+
+
+def licences(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, canonical_sha256, licence, n_notices, notices.
 
     licence is the known licence that the whole text is, else null; notices are
     the distinct licences whose notices stand in it as lines, sorted and joined by
     commas, n_notices how many such lines there are.  Null, empty and blank texts
     have the digest of the empty text and no licence.  Repeated rows are scanned
-    each; an empty table gives an empty result.
+    each; an empty table gives an empty result.  ``more(digest, licence)`` adds
+    known texts by ``digest()``; the built-in name of a digest goes before its, the
+    least of several.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike("(?i)licen[cs]|public domain|\\bcc "))
     marks = F.transform(lines, lambda x: F.sha2(canonical(x).cast("binary"), 256))
     rows = rows.select("doc_id", digest(F.col("text")).alias("canonical_sha256"), marks.alias("marks"))
-    whole = known(spark, TEXTS).select(F.col("digest").alias("canonical_sha256"), "licence")
+    whole = known_texts(spark).select(F.col("digest").alias("canonical_sha256"), "licence")
     rows = rows.join(F.broadcast(whole), "canonical_sha256", "left")
+    if more is not None:
+        added = more.where("digest is not null").groupBy(F.lower("digest").alias("canonical_sha256")).agg(F.min("licence").alias("added"))
+        rows = rows.join(added, "canonical_sha256", "left").withColumn("licence", F.coalesce("licence", "added")).drop("added")
     # Notices are few and fixed: their digests are one map literal, looked up in place.
     table = {d: n for d, n in known(spark, NOTICES).collect()}
     names = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])

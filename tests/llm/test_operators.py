@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -311,6 +312,49 @@ def test_licences(spark):
     assert licences.licences(frame(spark, []).limit(0)).count() == 0
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
+"""
+
+
+def test_longer_licences(spark):
+    common = "/usr/share/common-licenses/"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {n: open(common + f, encoding="utf-8").read() for n, f in files.items() if os.path.exists(common + f)} | {"Unlicense": UNLICENSE}
+    if "Apache-2.0" in texts:
+        texts["Apache-2.0 "] = texts["Apache-2.0"].partition("APPENDIX")[0].replace("[name of copyright owner]", "Some One")
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(98, UNLICENSE + "And more."), (99, "our own licence")]
+    got = {r.doc_id: r.licence for r in licences.licences(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == [n.strip() for n in texts]
+    assert got[98] is None and got[99] is None
+    own = hashlib.sha256(b"our own license").hexdigest()
+    more = spark.createDataFrame([(own.upper(), "Own"), (own, "Own too"), (None, "None")], "digest string, licence string")
+    out = licences.licences(frame(spark, rows), more).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.licence for r in out} == got | {99: "Own"}
+
+
 def test_toxicity(spark):
     rng = random.Random(13)
     v = [f"word{i}" for i in range(200)]
