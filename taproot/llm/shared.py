@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def folder(spark: SparkSession) -> str:
     at = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
     at = "file://" + tempfile.mkdtemp(prefix="taproot-")
     spark.conf.set(_KEY, at)
@@ -30,3 +31,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has (letter case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICES = 32
 FAN_IN = 256
@@ -60,3 +61,30 @@ def summed(rows: DataFrame, size: int, keys: Callable[[pa.RecordBatch], Iterator
     for i, _, blob in found.collect():
         out[i * part : (i + 1) * part] += _wide(blob, part)
     return out
+
+
+MOST_BITS = 26
+_WORD_BITS = 32_768  # fixed value: how many bits Spark's bitmap functions put in one bitmap
+
+
+def bit_table(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits of the leading parts of the 64-bit hashes in ``column``: 16 for each key, 2**26 in all at most.
+
+    Partial bitmaps are made in Spark's map-side aggregation; the driver gets 8 MB at
+    most, whatever the number of keys.  Beyond some 10 million keys more and more
+    others share a bit.
+    """
+    bits = min(MOST_BITS, max(15, (16 * keys.count()).bit_length()))
+    cell = F.shiftrightunsigned(column, 64 - bits) + 1  # the functions number bits from 1
+    rows = keys.groupBy(F.bitmap_bucket_number(cell).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    step = _WORD_BITS // 8
+    for at, found in rows.collect():
+        out[(at - 1) * step : at * step] = np.frombuffer(bytes(found), np.uint8)
+    return out
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set: true for all keys of the table, and for some others."""
+    cell = (keys.astype(np.uint64) >> np.uint64(64 - (8 * len(table)).bit_length() + 1)).astype(np.int64)
+    return (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1

@@ -69,8 +69,8 @@ def test_near_duplicates(spark, seed):
 
 
 def test_near_duplicates_hot(spark, monkeypatch):
-    """Salted buckets and several rounds of heads give the same."""
-    monkeypatch.setattr(ngram_join, "HOT", 3)
+    """Rows combined in small parts and several rounds of heads give the same."""
+    monkeypatch.setattr(ngram_join, "HELD", 50)
     rng = random.Random(5)
     w = [f"v{i}" for i in range(60)]
     rows = []
@@ -85,11 +85,42 @@ def test_near_duplicates_hot(spark, monkeypatch):
 
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (5, None), (None, None)]
-    got = sorted(map(tuple, ngram_join.near_duplicates(frame(spark, rows)).collect()), key=str)
+    got = sorted(map(tuple, ngram_join.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == sorted([(None, 2, None), (3, 2, 3), (3, 2, 3), (5, 0, 5), (None, 0, None)], key=str)
     assert ngram_join.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Rows of one doc_id are documents by themselves."""
+    rows = [(5, "a b c d e f g"), (5, "p q r s t u v"), (3, "a b c d e f g"), (8, "P Q r s t u v"), (5, "p q  r s t u v"), (5, ""), (5, ""), (None, "a b c d e f g"), (None, "a b c d e f g")]
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.root is None) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted([(5, 3, False), (5, 5, False), (3, 3, False), (8, 5, False), (5, 5, False), (5, 5, True), (5, 5, True), (-1, -1, True), (-1, -1, True)])
+    for _ in range(2):
+        docs = frame(spark, rows)
+        left = ngram_join.without_near_duplicates(docs)
+        assert left.columns == docs.columns
+        left = sorted((r.doc_id or -1, r.text) for r in left.collect())
+        want = [(-1, "a b c d e f g")] * 2 + [(3, "a b c d e f g"), (5, ""), (5, "")]
+        assert [x for x in left if x not in want] in ([(5, "p q r s t u v")], [(5, "p q  r s t u v")]) and len(left) == 6
+        rows.reverse()
+    assert ngram_join.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_prefixes_of_links_share_enough():
+    """Any two sets that link share l shingles of their prefixes, in any order."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)]))
+        ranks = rng.integers(0, 6, ngram_join.TABLE).astype(np.uint8)
+        if len(b) and ngram_join.linked(a, b, 75):
+            own = [ngram_join._rarest(x, ranks, 75) for x in (a, b)]
+            both = len(np.intersect1d(*own))
+            for x in (a, b):
+                assert both >= -(-len(x) * 75 // 100) * ngram_join.MARGIN // 100 + 1
+
+
 def test_suffix_filter_never_rejects_a_link():
     rng = np.random.default_rng(3)
     for _ in range(300):
