@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot.llm import decontamination, mixing, ngram_join, secret_scan, toxicity
-from taproot.llm.shared import saved
+from taproot.llm.shared import new_names, saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of op2, the one of the smallest doc_id.
 
-    Repeated rows of a doc_id are one; rows without doc_id all stay.
+    Rows of one doc_id with different texts are different documents, and go only if
+    their texts are near copies; rows without doc_id or without words all stay.
     """
-    groups = ngram_join.near_duplicates(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    return ngram_join.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +47,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix of op6 takes, with size, target, taken (words) and copies.
 
-    Rows that share a doc_id are taken alike.
+    Rows of one doc_id and size are taken alike.  Where ``docs`` has a column of such
+    a name, the new one gets an underscore before it.
     """
-    taken = mixing.mixed(docs).where("taken > 0").groupBy("doc_id", "size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"))
-    taken = taken.withColumn("copies", (F.col("taken") / F.col("size")).cast("long")).withColumnRenamed("doc_id", "taken_id")
-    names = {c: f"mix_{c}" if c in docs.columns else c for c in ("size", "target", "taken", "copies")}
-    taken = taken.select("taken_id", *[F.col(c).alias(n) for c, n in names.items()])
-    same = docs["doc_id"].eqNullSafe(taken["taken_id"]) & (mixing.word_count(docs["text"]) == taken[names["size"]])
-    return docs.join(taken, same).drop("taken_id")
+    size, target, taken, copies, taken_id = new_names(docs, "size", "target", "taken", "copies", "taken_id")
+    mix = mixing.mixed(docs).where("taken > 0").groupBy(F.col("doc_id").alias(taken_id), F.col("size").alias(size)).agg(F.max("target").alias(target), F.max("taken").alias(taken))
+    mix = mix.withColumn(copies, (F.col(taken) / F.col(size)).cast("long"))
+    same = docs["doc_id"].cast("long").eqNullSafe(mix[taken_id]) & (mixing.word_count(docs["text"]) == mix[size])
+    return docs.join(mix, same).select(*[docs[c] for c in docs.columns], size, target, taken, copies)
 
 
 STAGES = [
