@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
     classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = saved(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # a plain table: Spark can split a join's hot roots
     named = classes.join(least, "root").select("node", "component_id", "root")
     out = rows.join(named, "node", "left")
     known = F.col("doc_id").isNotNull()
