@@ -1,4 +1,4 @@
-"""Substring dedup: repeated passages, located by Aho-Corasick automata.
+"""Substring dedup: repeated passages, located by sharded Aho-Corasick automata.
 
 A window is ``width`` consecutive words of one text.  Every word inside a window
 whose words also start anywhere else, in the same text or another, is removed.
@@ -9,19 +9,22 @@ whose words also start anywhere else, in the same text or another, is removed.
    have equal anchors, and neighbours share theirs, so there is about one anchor
    in 14 words.  Anchors are counted over the corpus; one that occurs once can
    not be in a recurring window.  (Schleimer et al., "Winnowing", 2003.)
-3. Windows with a recurring anchor are hashed and counted: the confirmed ones.
-   Counts have map-side partial sums, so the commonest passage costs one row a
-   task; joins back are sort-merge joins, whose hot keys Spark splits.
-4. Confirmed passages go to the blocks of documents that hold them.  A block's
-   passages are compiled into an automaton over words, as windows that tile them,
-   and all the block's documents are streamed through it to find each occurrence.
-   Each automaton has a block's passages only, so automata stay small and no
-   document meets the whole corpus's passages.
+3. Windows with a recurring anchor are hashed and counted: this confirms passages,
+   and says where one occurrence of each is, from which its words are read.
+   Counts have map-side partial sums, so the commonest passage costs one row a task.
+4. Confirmed passages are dealt to shards by their anchors, and each shard is
+   compiled into an automaton.  Where a passage occurs else is not known by then:
+   every text of every class is streamed, cut to the stretches around its confirmed
+   anchors, through the shards of these anchors, and the automata locate all
+   occurrences.  A text meets only shards that can hold something of it, so the work
+   grows with the corpus and not with corpus times passages.  Shards are as many as
+   keep an automaton small; a shard with many stretches is compiled in several tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import ahocorasick
 import numpy as np
@@ -31,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taproot.llm.shared import saved
-from taproot.llm.sketch import summed
+from taproot.llm.sketch import bit_table, has_bit
 from taproot.llm.words import Words, as_array, between, cut, running, slices
 
 U = np.uint64
 GRAM = 8
-FILTER = 1 << 22
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -106,13 +108,9 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
 def _texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(class, text, spots): one text for each class with recurring anchors.
 
-    A bit table of fixed size keeps most other texts out of the shuffle.
+    A bit table of bounded size keeps most other texts out of the shuffle.
     """
-
-    def cells(batch):
-        yield (batch.column("class").to_numpy().astype(U) >> U(42)).astype(np.int64)
-
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(hits.select("class"), FILTER, cells) > 0))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(hits, "class"))
 
     def run(batches):
         table, seen = bits.value, set()
@@ -122,10 +120,8 @@ def _texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 part = texts.slice(lo, hi - lo)
                 words = cut(part)
                 classes = _classes(words, words.hashes())
-                cell = (classes.astype(U) >> U(42)).astype(np.int64)
-                hit = ((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
                 new = []
-                for i in np.flatnonzero(hit):
+                for i in np.flatnonzero(has_bit(table, classes)):
                     if (c := int(classes[i])) not in seen:
                         seen.add(c)
                         new.append(i)
@@ -142,7 +138,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(texts: DataFrame, width: int) -> DataFrame:
-    """(window, class, start, weight) of windows with a recurring anchor."""
+    """(window, anchor, class, start, weight) of windows with a recurring anchor."""
 
     def run(batches):
         for batch in batches:
@@ -150,67 +146,178 @@ def _counted(texts: DataFrame, width: int) -> DataFrame:
             for lo, hi in slices(column):
                 words = cut(column.slice(lo, hi - lo))
                 hashes = words.hashes()
-                first, anchor, _ = _windows(words, hashes, width)
+                first, anchor, grams = _windows(words, hashes, width)
                 row, spot = _lists(batch.column("spots").slice(lo, hi - lo))
                 keep = np.isin(anchor, words.at[row] + spot)
-                first = first[keep]
+                first, anchor = first[keep], anchor[keep]
                 text = words.text_of()[first]
                 window = between(running(hashes), first, first + width)
                 classes, copied = batch.column("class").slice(lo, hi - lo).to_numpy(), batch.column("copied").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(window.astype(np.int64)), pa.array(classes[text]), pa.array((first - words.at[text]).astype(np.int32)), pa.array((1 + copied[text]).astype(np.int32))], ["window", "class", "start", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(window.astype(np.int64)), pa.array(grams[anchor].astype(np.int64)), pa.array(classes[text]), pa.array((first - words.at[text]).astype(np.int32)), pa.array((1 + copied[text]).astype(np.int32))], ["window", "anchor", "class", "start", "weight"])
+
+    return texts.mapInArrow(run, "window long, anchor long, class long, start int, weight int")
 
-    return texts.mapInArrow(run, "window long, class long, start int, weight int")
 
+def _passages(texts: DataFrame, confirmed: DataFrame, width: int) -> DataFrame:
+    """(anchor, passage): the words of each confirmed window, from the text that it was first seen in."""
+    from_text = confirmed.groupBy("class").agg(F.collect_list(F.struct("start", "anchor")).alias("own"))
+
+    def run(batches):
+        for batch in batches:
+            own = as_array(batch.column("own"))
+            bounds = np.asarray(own.offsets)
+            start, anchor = own.values.field(0).to_numpy(), own.values.field(1).to_numpy()
+            for lo, hi in slices(batch.column("text")):
+                words = cut(batch.column("text").slice(lo, hi - lo))
+                raw = words.buf.tobytes()
+                some = slice(bounds[lo], bounds[hi])
+                first = np.repeat(words.at[:-1], np.diff(bounds[lo : hi + 1])) + start[some]
+                passages = [raw[i:j] for i, j in zip(words.start[first].tolist(), words.end[first + width - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(passages, pa.binary()).cast(pa.string())], ["anchor", "passage"])
+
+    return texts.select("class", "text").join(from_text, "class").mapInArrow(run, "anchor long, passage string")
 
-def tiles(starts: list[int], width: int) -> list[int]:
-    """The fewest of sorted window starts whose windows cover what all of them cover, taking runs from the left."""
-    out = []
-    for i, s in enumerate(starts):
-        if not out or s >= out[-1] + width or i + 1 == len(starts) or starts[i + 1] > out[-1] + width:
-            out.append(s)
-    return out
 
+def _stretches(texts: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
+    """(anchor, class, first, stretch): what windows of each confirmed anchor can cover, from word ``first`` on.
 
-def _located(texts: DataFrame, width: int) -> DataFrame:
-    """(class, n_removed, kept): each block's documents streamed through its automaton."""
+    A bit table of bounded size keeps most unconfirmed anchors out; others meet no passage.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(bit_table(anchors, "anchor"))
 
     def run(batches):
         for batch in batches:
-            column = batch.column("text")
-            for lo, hi in slices(column):
-                words = cut(column.slice(lo, hi - lo))
-                _, ids = np.unique(words.hashes(), return_inverse=True)
-                ids = ids.tolist()
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                row, start = _lists(batch.column("starts").slice(lo, hi - lo))
-                at = words.at.tolist()
-                bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    for s in tiles(sorted(start[bounds[i] : bounds[i + 1]].tolist()), width):
-                        automaton.add_word(tuple(ids[at[i] + s : at[i] + s + width]), 1)
-                automaton.make_automaton()
-                raw, removed, kept = words.buf.tobytes(), [], []
-                for i in range(hi - lo):
-                    a, b = at[i], at[i + 1]
-                    step = np.zeros(b - a + 1, np.int32)
-                    for end, _ in automaton.iter(tuple(ids[a:b])):
-                        step[end + 1 - width] += 1
-                        step[end + 1] -= 1
-                    gone = np.cumsum(step[:-1]) > 0
-                    removed.append(int(gone.sum()))
-                    rest = (a + np.flatnonzero(~gone)).tolist()
+            for lo, hi in slices(batch.column("text")):
+                words = cut(batch.column("text").slice(lo, hi - lo))
+                hashes = words.hashes()
+                row, spot = _lists(batch.column("spots").slice(lo, hi - lo))
+                at = words.at[row] + spot
+                if not len(at):
+                    continue
+                grams = between(running(hashes), at, at + GRAM).astype(np.int64)
+                keep = has_bit(bits.value, grams)
+                row, at, grams = row[keep], at[keep], grams[keep]
+                low = np.maximum(words.at[row], at - (width - GRAM))
+                high = np.minimum(words.at[row + 1], at + width)
+                raw = words.buf.tobytes()
+                found = [raw[i:j] for i, j in zip(words.start[low].tolist(), words.end[high - 1].tolist(), strict=True)]
+                classes = batch.column("class").slice(lo, hi - lo).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(classes), pa.array((low - words.at[row]).astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string())], ["anchor", "class", "first", "stretch"])
+
+    return texts.select("class", "text", "spots").mapInArrow(run, "anchor long, class long, first int, stretch string")
+
+
+class Automaton:
+    """An Aho-Corasick automaton over the words of some passages of ``width`` words.
+
+    A word is two symbols, as the automaton looks through a node's children one by one.
+    """
+
+    def __init__(self, passages: pa.Array, width: int):
+        words = cut(passages)
+        self.known, ids = np.unique(words.hashes(), return_inverse=True)
+        self.width = width
+        self.low = 1 + len(self.known) // 256 + 1
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        symbols, at = self._symbols(ids), (2 * words.at).tolist()
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            self.found.add_word(tuple(symbols[i:j]))
+        self.found.make_automaton()
+
+    def _symbols(self, ids: np.ndarray) -> list[int]:
+        """Two numbers for each id, of ranges that don't meet; 0 stands for unknown words (-1)."""
+        out = np.zeros((len(ids), 2), np.int64)
+        known = ids >= 0
+        out[known, 0] = 1 + ids[known] // 256
+        out[known, 1] = self.low + ids[known] % 256
+        return out.ravel().tolist()
+
+    def locate(self, texts: pa.Array):
+        """For each text the first words of all its passages."""
+        words = cut(texts)
+        hashes = words.hashes()
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        symbols, bounds = self._symbols(np.where(self.known[at] == hashes, at, -1)), (2 * words.at).tolist()
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            yield [(end + 1) // 2 - self.width for end, _ in self.found.iter(tuple(symbols[i:j]))]
+
+
+def _occurrences(stretches: DataFrame, passages: DataFrame, width: int, shard: int, task: int) -> DataFrame:
+    """(class, low, high): the words that passages cover, as ranges, from each shard's automaton.
+
+    A shard has about ``shard`` passages, those of its anchors.  If it has more than
+    twice as many, as for one anchor of very many passages, they are dealt to several
+    automata and its stretches go through each.  Its stretches are split by class into
+    as many tasks as have about ``task`` of them each.
+    """
+    n = max(1, math.ceil(passages.count() / shard))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n)))
+    stretches = stretches.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n)))
+    deals = passages.groupBy("shard").agg(F.ceil(F.count("*") / (2 * shard)).alias("deals"))
+    parts = stretches.groupBy("shard").agg(F.ceil(F.count("*") / task).alias("parts"))
+    dealt = saved(parts.join(deals, "shard"), "shards")
+
+    def numbers(column):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+
+    stretches = stretches.join(dealt, "shard").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("deal", numbers("deals"))
+    passages = passages.join(dealt, "shard").withColumn("deal", F.pmod(F.xxhash64("passage"), F.col("deals"))).withColumn("part", numbers("parts"))
+    key = ["shard", "deal", "part"]
+    stretches, passages = stretches.select(*key, "class", "first", "stretch"), passages.select(*key, "passage")
+
+    def run(_, left, right):
+        classes, low, high = [], [], []
+        if left.num_rows and right.num_rows:
+            automaton = Automaton(as_array(right["passage"]), width)
+            texts, first, own = as_array(left["stretch"]), left["first"].to_numpy(), left["class"].to_numpy()
+            for lo, hi in slices(texts):
+                for i, starts in enumerate(automaton.locate(texts.slice(lo, hi - lo)), lo):
+                    for s in starts:
+                        if high and classes[-1] == own[i] and low[-1] <= first[i] + s <= high[-1]:
+                            high[-1] = max(high[-1], first[i] + s + width)
+                        else:
+                            classes.append(own[i])
+                            low.append(first[i] + s)
+                            high.append(first[i] + s + width)
+        return pa.table({"class": pa.array(classes, pa.int64()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32())})
+
+    return stretches.groupBy(*key).cogroup(passages.groupBy(*key)).applyInArrow(run, "class long, low int, high int")
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """(class, n_removed, kept) of (class, text, ranges)."""
+
+    def run(batches):
+        for batch in batches:
+            ranges = as_array(batch.column("ranges"))
+            bounds = np.asarray(ranges.offsets)
+            low, high = ranges.values.field(0).to_numpy(), ranges.values.field(1).to_numpy()
+            for lo, hi in slices(batch.column("text")):
+                words = cut(batch.column("text").slice(lo, hi - lo))
+                own = slice(bounds[lo], bounds[hi])
+                base = np.repeat(words.at[:-1], np.diff(bounds[lo : hi + 1]))
+                step = np.zeros(len(words.start) + 1, np.int64)
+                np.add.at(step, base + low[own], 1)
+                np.add.at(step, base + high[own], -1)
+                gone = np.cumsum(step[:-1]) > 0
+                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.at[:-1]) * (words.counts > 0)
+                raw, kept = words.buf.tobytes(), []
+                for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
+                    rest = (a + np.flatnonzero(~gone[a:b])).tolist()
                     kept.append(hashlib.sha256(b" ".join([raw[words.start[j] : words.end[j]] for j in rest])).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("class").slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["class", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("class").slice(lo, hi - lo), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())], ["class", "n_removed", "kept"])
 
     return texts.mapInArrow(run, "class long, n_removed long, kept string")
 
 
-def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 35, shard: int = 10_000, task: int = 60_000) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256.
 
     Words are cut and compared unchanged.  Texts shorter than a window, null and
     empty ones lose nothing.  Repeated rows repeat each other's windows, whatever
-    their ids.  An empty table gives an empty result.
+    their ids.  An empty table gives an empty result.  ``shard`` is the number of passages
+    of an automaton, ``task`` that of stretches of text which one task streams
+    through it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = saved(_rows(docs), "rows")
@@ -224,12 +331,13 @@ def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     hits = hits.join(copies, "class", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     texts = saved(_texts(docs, saved(hits, "hits")), "texts")
 
-    windows = _counted(texts, width)
-    confirmed = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-    confirmed = saved(confirmed, "windows")
-    own = _counted(texts.where("not copied"), width)
-    starts = own.join(confirmed, "window").groupBy("class").agg(F.collect_list("start").alias("starts"))
-    found = _located(texts.where("not copied").select("class", "text").join(starts, "class"), width)
+    windows = _counted(texts, width).groupBy("window").agg(F.sum("weight").alias("n"), F.min(F.struct("class", "start", "anchor")).alias("x"))
+    confirmed = saved(windows.where("n > 1").select("x.*"), "windows")
+    passages = saved(_passages(texts, confirmed, width), "passages")
+    own = texts.where("not copied")
+    stretches = saved(_stretches(own, confirmed.select("anchor").distinct(), width), "stretches")
+    ranges = _occurrences(stretches, passages, width, shard, task).groupBy("class").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    found = _marked(own.select("class", "text").join(ranges, "class"))
 
     out = rows.join(copies, "class", "left").join(found, "class", "left")
     gone = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= width)

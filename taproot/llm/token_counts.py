@@ -6,8 +6,9 @@ a unit's ends, so a text's tokens are the sum over its units.  Units are cut and
 hashed with numpy.  Tier one is a broadcast table of the hashes and token counts
 of the corpus's frequent units (at most ``FREQUENT``); tier two is a cache in
 each Python worker, filled by encoding what tier one misses and emptied at
-``CACHED`` entries.  No unit is ever shuffled; only each task's most frequent
-ones are merged, packed, to make tier one.
+``CACHED`` entries.  Rows and their units are never shuffled.  To make tier one, each
+task passes on its most frequent units, ``FREQUENT // 4`` at most, with their counts;
+packed by hash into ``SLICES`` tables, these are merged in three rounds.
 
 Texts with special strings or white space outside ASCII go to the library whole.
 """
@@ -30,6 +31,7 @@ from taproot.llm.words import _BYTE, Words, between, cut, running, slices
 U = np.uint64
 FREQUENT = 1 << 16
 FAN_IN = 128
+SLICES = 16
 CACHED = 1_000_000
 #: White space, or what some Unicode versions take for it, other than the six ASCII separators.
 _ODD = "[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
@@ -120,13 +122,16 @@ def frequent_units(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[int
     """Tier one: hash to token count of the most frequent units of all texts.
 
     Each task holds counts of at most 4 * ``most`` units at a time (rarer ones are
-    let go) and passes on ``most // 4``; packed tables are merged in three rounds.  What
-    is let go only costs an encoding later, never a wrong count.
+    let go) and passes on ``most // 4``; packed tables are merged in three rounds, each
+    slice of the hashes by itself.  What is let go only costs an encoding later, never a
+    wrong count.
     """
 
-    def packed(count: dict, text: dict, n: int) -> bytes:
-        top = sorted(count, key=lambda h: (-count[h], h))[:n]
-        return zlib.compress(pickle.dumps([(h, count[h], text[h]) for h in top]), 1)
+    def top_of(count: dict, n: int) -> list[int]:
+        return sorted(count, key=lambda h: (-count[h], h))[:n]
+
+    def packed(units: list) -> bytes:
+        return zlib.compress(pickle.dumps(units), 1)
 
     def task(batches):
         count: dict[int, int] = {}
@@ -147,7 +152,10 @@ def frequent_units(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[int
                     top = sorted(count, key=count.__getitem__, reverse=True)[:most]
                     count, text = {h: count[h] for h in top}, {h: text[h] for h in top}
         if count:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int32()), pa.array([packed(count, text, most // 4)], pa.binary())], ["bin", "units"])
+            bin, parts = TaskContext.get().partitionId() // FAN_IN, [[] for _ in range(SLICES)]
+            for h in top_of(count, most // 4):
+                parts[h % SLICES].append((h, count[h], text[h]))
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([bin] * SLICES, pa.int32()), pa.array(map(packed, parts), pa.binary())], ["slice", "bin", "units"])
 
     def merge(table):
         count: dict[int, int] = {}
@@ -156,17 +164,14 @@ def frequent_units(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[int
             for h, c, t in pickle.loads(zlib.decompress(blob.as_py())):
                 count[h] = count.get(h, 0) + c
                 text[h] = t
-            if len(count) > 4 * most:
-                top = sorted(count, key=count.__getitem__, reverse=True)[:most]
-                count, text = {h: count[h] for h in top}, {h: text[h] for h in top}
-        return pa.table({"bin": pa.array([table["bin"][0].as_py() // FAN_IN], pa.int32()), "units": pa.array([packed(count, text, most)], pa.binary())})
+        top = [(h, count[h], text[h]) for h in top_of(count, most // SLICES)]
+        return pa.table({"slice": table["slice"][:1], "bin": pa.array([table["bin"][0].as_py() // FAN_IN], pa.int32()), "units": pa.array([packed(top)], pa.binary())})
 
-    schema = "bin int, units binary"
+    schema = "slice int, bin int, units binary"
     found = docs.mapInArrow(task, schema)
     for _ in range(3):  # FAN_IN tables a group at most, for up to FAN_IN ** 3 tasks
-        found = found.groupBy("bin").applyInArrow(merge, schema)
-    found = found.collect()
-    top = pickle.loads(zlib.decompress(found[0][1])) if found else []
+        found = found.groupBy("slice", "bin").applyInArrow(merge, schema)
+    top = [u for row in found.collect() for u in pickle.loads(zlib.decompress(row["units"]))]
     lengths = _counter(path).counts([t.decode() for _, _, t in top])
     return {h: n for (h, _, _), n in zip(top, lengths, strict=True)}
 

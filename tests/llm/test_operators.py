@@ -138,15 +138,20 @@ def test_repeats(spark):
     alone = [(1, "x " * 80), (2, "a b")]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.without_repeats(frame(spark, alone)).collect()}
     assert got == brute.without_repeats(alone) and got[1][1] == 80
+    again = phrases.without_repeats(frame(spark, rows), shard=3, task=5).collect()  # many small shards give the same
+    assert sorted(map(str, again)) == sorted(map(str, phrases.without_repeats(frame(spark, rows)).collect()))
     assert phrases.without_repeats(frame(spark, []).limit(0)).count() == 0
 
 
-def test_tiles_cover():
-    for starts in ([0], [0, 1, 2], [0, 34, 69], list(range(100)), [0, 35, 80, 81], [3, 9, 40, 44]):
-        def cover(s):
-            return {j for i in s for j in range(i, i + 35)}
-
-        assert cover(phrases.tiles(starts, 35)) == cover(starts)
+def test_automaton_locates_every_passage():
+    rng = random.Random(4)
+    w = [rng.choice([f"w{i}" for i in range(700)]) for _ in range(3000)]
+    passages = sorted({" ".join(w[i : i + 4]) for i in range(0, 2996, 3)})
+    texts = [" ".join(w[i : i + 50]) for i in range(0, 3000, 40)] + ["", None, "unknown w1", " ".join(["w1"] * 9)]
+    own = {tuple(p.split()) for p in passages} | {("w1",) * 4}
+    found = phrases.Automaton(pa.array([*passages, "w1 w1 w1 w1"]), 4)
+    want = [[i for i in range(len(x) - 3) if tuple(x[i : i + 4]) in own] for x in map(brute.words, texts)]
+    assert list(found.locate(pa.array(texts))) == want
 
 
 def test_quality(spark):
