@@ -9,11 +9,11 @@ whose words also start anywhere else, in the same text or another, is removed.
    have equal anchors, and neighbours share theirs, so there is about one anchor
    in 14 words.  Anchors are counted over the corpus; one that occurs once can
    not be in a recurring window.  (Schleimer et al., "Winnowing", 2003.)
-3. Windows with a recurring anchor are hashed and counted: this confirms passages,
-   and says where one occurrence of each is, from which its words are read.
-   Counts have map-side partial sums, so the commonest passage costs one row a task.
+3. Windows with a recurring anchor are hashed and counted: this confirms them, and
+   says where one occurrence of each is, from which its words are read.  Neighbouring
+   windows of one anchor are one passage.  Counts have map-side partial sums, so the commonest passage costs one row a task.
 4. Confirmed passages are dealt to shards by their anchors, and each shard is
-   compiled into an automaton.  Where a passage occurs else is not known by then:
+   compiled into an automaton over what the windows of each passage share.  Where a passage occurs else is not known by then:
    every text of every class is streamed, cut to the stretches around its confirmed
    anchors, through the shards of these anchors, and the automata locate all
    occurrences.  A text meets only shards that can hold something of it, so the work
@@ -159,23 +159,34 @@ def _counted(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _passages(texts: DataFrame, confirmed: DataFrame, width: int) -> DataFrame:
-    """(anchor, passage): the words of each confirmed window, from the text that it was first seen in."""
-    from_text = confirmed.groupBy("class").agg(F.collect_list(F.struct("start", "anchor")).alias("own"))
+    """(anchor, n, passage): runs of ``n`` neighbouring confirmed windows of one anchor, from the text that they were first seen in.
+
+    A run is so short that its windows have ``GRAM`` words in common.
+    """
+    from_text = confirmed.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("start", "anchor"))).alias("own"))
+    most = width - GRAM + 1
 
     def run(batches):
         for batch in batches:
             own = as_array(batch.column("own"))
             bounds = np.asarray(own.offsets)
-            start, anchor = own.values.field(0).to_numpy(), own.values.field(1).to_numpy()
+            starts, anchors = own.values.field(0).to_numpy(), own.values.field(1).to_numpy()
             for lo, hi in slices(batch.column("text")):
                 words = cut(batch.column("text").slice(lo, hi - lo))
                 raw = words.buf.tobytes()
                 some = slice(bounds[lo], bounds[hi])
-                first = np.repeat(words.at[:-1], np.diff(bounds[lo : hi + 1])) + start[some]
-                passages = [raw[i:j] for i, j in zip(words.start[first].tolist(), words.end[first + width - 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(passages, pa.binary()).cast(pa.string())], ["anchor", "passage"])
+                first, anchor = np.repeat(words.at[:-1], np.diff(bounds[lo : hi + 1])) + starts[some], anchors[some]
+                new = np.ones(len(first), bool)
+                new[1:] = (first[1:] != first[:-1] + 1) | (anchor[1:] != anchor[:-1])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+                new |= (np.arange(len(first)) - head) % most == 0
+                begin = np.flatnonzero(new)
+                n = np.diff(np.append(begin, len(first)))
+                first = first[begin]
+                passages = [raw[i:j] for i, j in zip(words.start[first].tolist(), words.end[first + n + width - 2].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[begin]), pa.array(n.astype(np.int32)), pa.array(passages, pa.binary()).cast(pa.string())], ["anchor", "n", "passage"])
 
-    return texts.select("class", "text").join(from_text, "class").mapInArrow(run, "anchor long, passage string")
+    return texts.select("class", "text").join(from_text, "class").mapInArrow(run, "anchor long, n int, passage string")
 
 
 def _stretches(texts: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
@@ -208,20 +219,27 @@ def _stretches(texts: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
 
 
 class Automaton:
-    """An Aho-Corasick automaton over the words of some passages of ``width`` words.
+    """An Aho-Corasick automaton over the words of passages, each of ``n`` windows of ``width`` words.
 
-    A word is two symbols, as the automaton looks through a node's children one by one.
+    Its keys are the passages' cores, the words that all windows of a passage share.
+    Where a core is found, the passage is compared with the words on both sides, which
+    tells which of its windows are there.  A word is two symbols, as the automaton
+    looks through a node's children one by one.
     """
 
-    def __init__(self, passages: pa.Array, width: int):
+    def __init__(self, passages: pa.Array, n: np.ndarray, width: int):
         words = cut(passages)
-        self.known, ids = np.unique(words.hashes(), return_inverse=True)
-        self.width = width
+        self.known, self.ids = np.unique(words.hashes(), return_inverse=True)
+        self.width, self.n = width, n.astype(np.int64)
         self.low = 1 + len(self.known) // 256 + 1
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        symbols, at = self._symbols(ids), (2 * words.at).tolist()
-        for i, j in zip(at[:-1], at[1:], strict=True):
-            self.found.add_word(tuple(symbols[i:j]))
+        self.core = words.at[:-1] + self.n - 1  # the first word of each core; it ends ``width`` words after the passage's first
+        self.end = words.at[:-1] + width
+        symbols, cores = self._symbols(self.ids), {}
+        for i, (a, b) in enumerate(zip((2 * self.core).tolist(), (2 * self.end).tolist(), strict=True)):
+            cores.setdefault(tuple(symbols[a:b]), []).append(i)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for core, owners in cores.items():
+            self.found.add_word(core, owners)
         self.found.make_automaton()
 
     def _symbols(self, ids: np.ndarray) -> list[int]:
@@ -232,14 +250,32 @@ class Automaton:
         out[known, 1] = self.low + ids[known] % 256
         return out.ravel().tolist()
 
-    def locate(self, texts: pa.Array):
-        """For each text the first words of all its passages."""
+    def locate(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, low, high): the words of each text that a run of windows covers, a row for each place of a passage."""
         words = cut(texts)
         hashes = words.hashes()
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        symbols, bounds = self._symbols(np.where(self.known[at] == hashes, at, -1)), (2 * words.at).tolist()
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            yield [(end + 1) // 2 - self.width for end, _ in self.found.iter(tuple(symbols[i:j]))]
+        ids = np.where(self.known[at] == hashes, at, -1)
+        symbols, bounds = self._symbols(ids), (2 * words.at).tolist()
+        where, which, text = [], [], []
+        for t, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            for end, owners in self.found.iter(tuple(symbols[i:j])):
+                for o in owners:
+                    where.append((i + end + 1) // 2)
+                    which.append(o)
+                    text.append(t)
+        where, which, text = (np.array(x, np.int64) for x in (where, which, text))
+        n, core = self.n[which], where - (self.end - self.core)[which]
+        left, right = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        low, high = words.at[text], words.at[text + 1]
+        for step in range(1, int(self.n.max(initial=1))):
+            # as long as words before the core, and after it, are alike
+            on = (left == step - 1) & (step < n) & (core - step >= low)
+            left[on] += ids[core[on] - step] == self.ids[self.core[which[on]] - step]
+            on = (right == step - 1) & (step < n) & (where + step <= high)
+            right[on] += ids[where[on] + step - 1] == self.ids[self.end[which[on]] + step - 1]
+        there = left + right >= n - 1
+        return text[there], (core - left - low)[there], (where + right - low)[there]
 
 
 def _occurrences(stretches: DataFrame, passages: DataFrame, width: int, shard: int, task: int) -> DataFrame:
@@ -263,23 +299,18 @@ def _occurrences(stretches: DataFrame, passages: DataFrame, width: int, shard: i
     stretches = stretches.join(dealt, "shard").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("deal", numbers("deals"))
     passages = passages.join(dealt, "shard").withColumn("deal", F.pmod(F.xxhash64("passage"), F.col("deals"))).withColumn("part", numbers("parts"))
     key = ["shard", "deal", "part"]
-    stretches, passages = stretches.select(*key, "class", "first", "stretch"), passages.select(*key, "passage")
+    stretches, passages = stretches.select(*key, "class", "first", "stretch"), passages.select(*key, "n", "passage")
 
     def run(_, left, right):
-        classes, low, high = [], [], []
+        out = []
         if left.num_rows and right.num_rows:
-            automaton = Automaton(as_array(right["passage"]), width)
+            automaton = Automaton(as_array(right["passage"]), right["n"].to_numpy(), width)
             texts, first, own = as_array(left["stretch"]), left["first"].to_numpy(), left["class"].to_numpy()
             for lo, hi in slices(texts):
-                for i, starts in enumerate(automaton.locate(texts.slice(lo, hi - lo)), lo):
-                    for s in starts:
-                        if high and classes[-1] == own[i] and low[-1] <= first[i] + s <= high[-1]:
-                            high[-1] = max(high[-1], first[i] + s + width)
-                        else:
-                            classes.append(own[i])
-                            low.append(first[i] + s)
-                            high.append(first[i] + s + width)
-        return pa.table({"class": pa.array(classes, pa.int64()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32())})
+                text, low, high = automaton.locate(texts.slice(lo, hi - lo))
+                out.append((own[lo:hi][text], first[lo:hi][text] + low, first[lo:hi][text] + high))
+        found = np.unique(np.concatenate([np.stack(x, 1) for x in out] or [np.zeros((0, 3), np.int64)]), axis=0)
+        return pa.table({"class": pa.array(found[:, 0].astype(np.int64)), "low": pa.array(found[:, 1].astype(np.int32)), "high": pa.array(found[:, 2].astype(np.int32))})
 
     return stretches.groupBy(*key).cogroup(passages.groupBy(*key)).applyInArrow(run, "class long, low int, high int")
 
@@ -310,7 +341,7 @@ def _marked(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "class long, n_removed long, kept string")
 
 
-def without_repeats(docs: DataFrame, width: int = 35, shard: int = 10_000, task: int = 60_000) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 35, shard: int = 8_000, task: int = 60_000) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256.
 
     Words are cut and compared unchanged.  Texts shorter than a window, null and

@@ -144,14 +144,20 @@ def test_repeats(spark):
 
 
 def test_automaton_locates_every_passage():
+    """Passages of several windows, found whole or in part, in texts that hold them once or often."""
     rng = random.Random(4)
-    w = [rng.choice([f"w{i}" for i in range(700)]) for _ in range(3000)]
-    passages = sorted({" ".join(w[i : i + 4]) for i in range(0, 2996, 3)})
-    texts = [" ".join(w[i : i + 50]) for i in range(0, 3000, 40)] + ["", None, "unknown w1", " ".join(["w1"] * 9)]
-    own = {tuple(p.split()) for p in passages} | {("w1",) * 4}
-    found = phrases.Automaton(pa.array([*passages, "w1 w1 w1 w1"]), 4)
-    want = [[i for i in range(len(x) - 3) if tuple(x[i : i + 4]) in own] for x in map(brute.words, texts)]
-    assert list(found.locate(pa.array(texts))) == want
+    w = [rng.choice([f"w{i}" for i in range(90)]) for _ in range(3000)]
+    n = [rng.randint(1, 5) for _ in range(600)]
+    at = [rng.randrange(2900) for _ in n]
+    passages = [" ".join(w[i : i + 11 + k]) for i, k in zip(at, n, strict=True)] + [" ".join(["w1"] * 12)]
+    texts = [" ".join(w[i : i + 50]) for i in range(0, 3000, 40)] + ["", None, "unknown w1", " ".join(["w1"] * 19)]
+    texts += [" ".join(w[i : i + 14] + ["w3"] + w[i + 14 : i + 40]) for i in at[:60]]
+    own = {tuple(p.split()[i : i + 12]) for p in passages for i in range(len(p.split()) - 11)}
+    found = phrases.Automaton(pa.array(passages), np.array([*n, 1]), 12)
+    got = [set() for _ in texts]
+    for t, low, high in zip(*(x.tolist() for x in found.locate(pa.array(texts))), strict=True):
+        got[t].update(range(low, high))
+    assert got == [{j for i in range(len(x) - 11) if tuple(x[i : i + 12]) in own for j in range(i, i + 12)} for x in map(brute.words, texts)]
 
 
 def test_quality(spark):
