@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot import sinks
 from taproot.functions import globs, scalars
 from taproot.operators import dependencies, files, graph, members, policy, symbols, workspaces
+from taproot.registry import query
+from taproot.registry import table as _t
 from taproot.sources.stars import facts, in_sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _REACH = f"""{in_sql("files", "profiles", "entries", "edges", "blockers")},
  reach as (select profile, path from entries union select e.profile, e.dst from reach r join edges e on e.profile = r.profile and e.src = r.path)"""
 _STATUS = f"""{_REACH}, stopped as (select distinct b.profile from blockers b join reach r on r.profile = b.profile and r.path = b.path),
@@ -262,11 +243,11 @@ def binary_names(spark, d):
     return _t(spark, d, "pages").select("url", scalars.binary_name(F.col("url")).alias("name"))
 
 
-@query("select p_partkey, concat('src/p', cast(p_partkey as string)) as a, concat('lib/', replace(p_name, ' ', '/'), '/x.js') as b from part")
+@query("select p_partkey, concat('src/q/p', cast(p_partkey as string)) as a, concat('lib/', replace(p_name, ' ', '/'), '/y/x.js') as b, concat('src/p', cast(p_partkey as string)) as c, concat('../lib/', replace(p_name, ' ', '/'), '/x.js') as d from part")
 def path_normalise(spark, d):
     raw = F.concat(F.lit("./src//q/../p"), F.col("p_partkey").cast("string"), F.lit("/."))
     other = F.concat(F.lit("../lib/./"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("/y/../x.js"))
-    return _t(spark, d, "part").select("p_partkey", scalars.normal_path(raw).alias("a"), scalars.normal_path(other).alias("b"))
+    return _t(spark, d, "part").select("p_partkey", scalars.normal_path(raw).alias("a"), scalars.normal_path(other).alias("b"), scalars.popped_path(raw).alias("c"), scalars.popped_path(other).alias("d"))
 
 
 @query("select p_partkey, v.variant from part, (select unnest(['', '.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs', '/index.ts', '/index.tsx', '/index.mts', '/index.cts']) as e) x, lateral (select concat('src/p', cast(p_partkey as string), x.e) as variant) v")
@@ -315,7 +296,7 @@ def import_resolution(spark, d):
     edges = facts(spark, d, "edges")
     imports = edges.select(F.col("src").alias("path"), F.expr("case when dst < src then concat('./', substr(dst, 5, length(dst) - 7)) else substr(dst, 5) end").alias("specifier"), (F.col("profile") == "N").alias("deferred")).groupBy("path", "specifier").agg(F.bool_or("deferred").alias("deferred"))
     relative = imports.where(scalars.relative_specifier(F.col("specifier")))
-    places = relative.select("path", "specifier", F.posexplode(scalars.source_variants(scalars.normal_path(F.concat(F.lit("src/"), "specifier")))).alias("rank", "candidate"))
+    places = relative.select("path", "specifier", F.posexplode(scalars.source_variants(scalars.popped_path(F.concat(F.lit("src/"), "specifier")))).alias("rank", "candidate"))
     return workspaces.resolved(imports, places, facts(spark, d, "files"))
 
 

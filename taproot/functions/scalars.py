@@ -55,9 +55,16 @@ def binary_name(command: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """A relative path without empty, ``.``, and ``..`` segments, each ``..`` taking what is before it."""
+    """A relative path of its plain segments only: empty, ``.`` and ``..`` ones are dropped."""
+    return F.array_join(F.filter(F.split(path, "/", -1), lambda x: ~x.isin("", ".", "..")), "/")
+
+
+def popped_path(path: Column) -> Column:
+    """Where a path leads: each ``..`` takes what is before it; those that leave the root stay in front."""
     parts = F.filter(F.split(path, "/", -1), lambda x: ~x.isin("", "."))
-    kept = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    none = F.expr("cast(array() as array<string>)")
+    up = lambda acc: (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("..")) != "..")
+    kept = F.aggregate(parts, none, lambda acc, x: F.when((x == "..") & up(acc), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
     return F.array_join(kept, "/")
 
 
@@ -169,4 +176,4 @@ def line_and_column(text: Column, offset: Column) -> Column:
     """(line, column) of a byte offset, both from 1; the column counts characters."""
     head = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset), "UTF-8")
     line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-    return F.struct(line.cast("long").alias("line"), (F.length(F.regexp_extract(head, r"(?s)([^\n]*)$", 1)) + 1).cast("long").alias("column"))
+    return F.struct(line.cast("long").alias("line"), (F.length(F.regexp_extract(head, r"([^\n]*)\z", 1)) + 1).cast("long").alias("column"))

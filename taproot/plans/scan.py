@@ -7,16 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taproot.functions import scalars
-from taproot.operators import files, graph, workspaces
-from taproot.sources import jsfacts
+from taproot.operators import files, graph, modules
+from taproot.sources import jsfacts, manifests
 from taproot.sources.cache import FactCache
 
 
 @dataclass
 class Report:
     files: DataFrame  # profile, path, status
-    imports: DataFrame  # path, specifier, status, target
+    imports: DataFrame  # path, specifier, mode, deferred, status, target, targets, code, blocks
     findings: DataFrame  # profile, paths, n, summary
     diagnostics: DataFrame  # path, code, message, blocks
     edges: DataFrame  # profile, src, dst
@@ -37,31 +36,37 @@ class Report:
         return chain[::-1]
 
 
-def scan(sources: DataFrame, entries: DataFrame, cache: FactCache | None = None) -> Report:
-    """``sources(path, text)`` is the whole universe; ``entries(profile, path)`` its roots.
+def scan(sources: DataFrame, entries: DataFrame, cache: FactCache | None = None, discovered: bool = False) -> Report:
+    """``sources(path, text)`` are all files that exist; ``entries(profile, path)`` its roots.
 
+    Files with a source extension are the universe.  Others are what imports may
+    lead to beside it: assets, manifests (the root one declares external packages,
+    those of workspaces map their names to files) and configurations (path aliases).
     Loads that run later, or can't be read, make no edge and block their profile
-    once their file is reachable.  An import of a file outside the universe is
-    unresolved and blocks; a bare one is external.
+    once their file is reachable; so does an import without a target, unless it is
+    a declared package or a runtime module.
     """
-    facts = cache.facts(sources) if cache else graph.checkpointed(jsfacts.extracted(sources))
+    code = sources.where(modules.analyzable(F.col("path")))
+    rest = sources.where(~modules.analyzable(F.col("path")))
+    facts = cache.facts(code) if cache else graph.checkpointed(jsfacts.extracted(code))
     paths = facts.select("path")
     found = jsfacts.table(facts, "imports")
-    imports = found.groupBy("path", "specifier").agg(F.bool_and(F.col("activation") == "deferred").alias("deferred"))
-    relative = imports.where(scalars.relative_specifier(F.col("specifier")))
-    plain = F.regexp_replace("specifier", r"[?#].*$", "")
-    target = scalars.normal_path(F.concat_ws("/", F.regexp_replace("path", r"[^/]*$", ""), plain))
-    places = relative.select("path", "specifier", target.alias("target"))
-    ranked = F.concat(scalars.source_variants(F.col("target")), scalars.emitted_variants(F.col("target")))
-    candidates = places.select("path", "specifier", F.posexplode(ranked).alias("rank", "candidate"))
-    resolved = graph.checkpointed(workspaces.resolved(imports, candidates, paths))
+    mode = F.when(F.startswith("kind", F.lit("common_js")), "common_js").otherwise("esm")
+    imports = found.groupBy("path", "specifier", mode.alias("mode")).agg(F.bool_and(F.col("activation") == "deferred").alias("deferred"))
+
+    texts = graph.checkpointed(rest.where(F.col("path").rlike("(?:^|/)(?:package|[jt]sconfig[^/]*)\\.json$")))
+    read = graph.checkpointed(manifests.manifests(texts))
+    configs = graph.checkpointed(manifests.configurations(texts))
+    declared = manifests.declarations(read.where("root = ''")).select("package").distinct()
+    spaces = read.where("root = ''").select(F.explode("workspaces")).distinct()
+    patterns = [r[0] for r in spaces.collect()]  # patterns of one manifest
+    targets = manifests.module_targets(manifests.workspace_packages(read, patterns), paths, configs)
+    places = modules.candidates(imports, configs, manifests.aliases(configs))
+    resolved = graph.checkpointed(modules.ladder(imports, places, paths, rest.select("path"), declared, targets, discovered))
 
     profiles = entries.select("profile").distinct()
-    links = resolved.where("status = 'resolved'").select(F.col("path").alias("src"), F.col("target").alias("dst"))
-    edges = profiles.join(links)
-    diagnostics = jsfacts.table(facts, "diagnostics").select("path", "code", "message", "blocks")
-    lost = resolved.where("status = 'unresolved'").select("path", F.lit("unresolved_import").alias("code"), F.concat(F.lit("cannot resolve "), "specifier").alias("message"), F.lit(True).alias("blocks"))
-    diagnostics = diagnostics.union(lost)
+    edges = graph.checkpointed(profiles.join(modules.edges(resolved)))
+    diagnostics = jsfacts.table(facts, "diagnostics").select("path", "code", "message", "blocks").union(modules.diagnostics(resolved))
     fatal = diagnostics.where(F.col("code").isin("parse_failure", "source_too_large")).select("path", F.lit(True).alias("fatal")).distinct()
     universe = paths.join(fatal, "path", "left").select("path", F.lit(".").alias("workspace"), F.coalesce("fatal", F.lit(False)).alias("fatal"))
     blockers = profiles.join(diagnostics.where("blocks").select("path").distinct())

@@ -5,13 +5,17 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot.functions import globs, scalars
+from taproot.operators import graph
 
-#: Folders that a search for sources never enters.
-SKIPPED = (".git", ".hg", ".svn", "node_modules", "bower_components", "dist", "build", "coverage", ".next", ".nuxt", ".turbo", ".cache", "out", "vendor")
+#: Folders that a search for sources never enters, beside that of our own cache.
+SKIPPED = ("node_modules", ".git", ".hg", ".svn", "target", "dist", "build", "coverage", ".next", ".nuxt", ".svelte-kit", ".turbo", ".cache", ".taproot")
+#: What makes a folder a repository of its own.
+REPOSITORY_MARKS = (".git", ".hg", ".svn")
 MAX_FILES = 100_000
 
 
@@ -58,37 +62,23 @@ def conditional(value, conditions: set[str]) -> list[str]:
     if isinstance(value, str):
         return [value]
     if isinstance(value, list):
-        return next((found for v in value if (found := conditional(v, conditions))), [])
+        return [t for v in value for t in conditional(v, conditions)]
     if isinstance(value, dict):
-        return next((found for k, v in value.items() if (k in conditions or k == "default") and (found := conditional(v, conditions))), [])
+        return next((conditional(v, conditions) for k, v in value.items() if k in conditions or k == "default"), [])
     return []
 
 
-def by_priority(value, priority: list[str]) -> list[str]:
-    """Targets of an entry: conditions in the profile's order of preference, then ``default``."""
+def by_priority(value, priority: tuple[str, ...]) -> list[str]:
+    """Targets of an entry: conditions in the profile's order of preference, then ``default``; of a list, all."""
     if isinstance(value, str):
         return [value]
+    if isinstance(value, list):
+        return list(dict.fromkeys(t for v in value for t in by_priority(v, priority)))
     if isinstance(value, dict):
-        if any(k.startswith(".") for k in value):
-            return [t for v in value.values() for t in by_priority(v, priority)]
-        return next((found for k in (*priority, "default") if k in value and (found := by_priority(value[k], priority))), [])
+        return next((by_priority(value[k], priority) for k in (*priority, "default") if k in value), [])
     return []
 
 
-def manifest_entries(text: str, profile: str) -> list[str]:
-    """Entry paths of a package manifest for a profile (node, browser, or another condition), safe and relative."""
-    data = json.loads(without_comments(text))
-    found: list[str] = []
-    if "exports" in data:
-        found += by_priority(data["exports"], [profile, "import", "require"])
-    else:
-        found += [data[k] for k in (("browser",) if profile == "browser" else ()) + ("module", "main") if isinstance(data.get(k), str)]
-    binary = data.get("bin")
-    found += [binary] if isinstance(binary, str) else list(binary.values()) if isinstance(binary, dict) else []
-    clean = [re.sub(r"^(?:\./)+", "", f) for f in found]
-    return sorted({f for f in clean if f and not f.startswith("/") and ".." not in f.split("/")})
-
-
 _SHELL = re.compile(r"""(?P<space>[ \t]+)|(?P<op>&&|\|\||[;|&\n])|(?P<comment>(?<![^\s;&|])\#[^\n]*)|(?P<single>'[^']*')|(?P<double>"(?:[^"\\]|\\.)*")|(?P<escape>\\.)|(?P<dynamic>\$\([^)]*\)|\$\{[^}]*\}|\$\w+|`[^`]*`)|(?P<plain>[^\s'"\\$`;&|]+|.)""", re.S)
 
 
@@ -165,3 +155,26 @@ def reachable_scripts(scripts: dict[str, str], roots: list[str] = ()) -> list[st
             seen.add(name)
             todo += [f"pre{name}", f"post{name}"] + [v for k, v in script_references(scripts[name]) if k == "script"]
     return sorted(seen)
+
+
+def script_table(scripts: DataFrame) -> DataFrame:
+    """(root, name, kind, value): what each of ``scripts(root, name, body)`` runs."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(r, n, *x) for r, n, b in zip(*(batch.column(c).to_pylist() for c in ("root", "name", "body")), strict=True) for x in script_references(b or "")]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["root", "name", "kind", "value"])
+
+    return scripts.select("root", "name", "body").mapInArrow(run, "root string, name string, kind string, value string").distinct()
+
+
+def running_scripts(scripts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, name): scripts that ``roots(root, name)`` run, with their pre and post ones; a workspace without roots runs all."""
+    here = scripts.select("root", "name")
+    calls = script_table(scripts).where("kind = 'script'").select("root", F.col("name").alias("src"), F.col("value").alias("dst"))
+    around = here.select("root", F.col("name").alias("src"), F.explode(F.array(F.concat(F.lit("pre"), "name"), F.concat(F.lit("post"), "name"))).alias("dst"))
+    edges = calls.union(around).join(here.withColumnRenamed("name", "dst"), ["root", "dst"], "left_semi").select(F.col("root").alias("profile"), "src", "dst")
+    free = here.join(roots.select("root").distinct(), "root", "left_anti")
+    start = roots.join(here, ["root", "name"], "left_semi").select("root", "name").union(free)
+    return graph.reachable(edges, start.select(F.col("root").alias("profile"), F.col("name").alias("path"))).select(F.col("profile").alias("root"), F.col("path").alias("name"))

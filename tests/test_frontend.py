@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from taproot.sources import jsfacts, projects
+from taproot.operators import plugins
+from taproot.sources import jsfacts, manifests, projects
 
 
 def read(text):
@@ -89,8 +90,57 @@ def test_conditions():
     value = {"types": "./t.d.ts", "browser": "./b.js", "import": "./i.js", "default": "./d.js"}
     assert projects.conditional(value, {"import", "browser"}) == ["./b.js"]  # the first key in order
     assert projects.by_priority(value, ["node", "import"]) == ["./i.js"]  # the first in the profile's order
-    assert projects.conditional({"node": {"require": "./r.js"}, "default": "./d.js"}, {"node"}) == ["./d.js"]
-    assert projects.manifest_entries('{"main": "./lib/x.js", "bin": {"t": "cli.js"}, "browser": "../bad.js"}', "browser") == ["cli.js", "lib/x.js"]
+    assert projects.conditional({"node": {"require": "./r.js"}, "default": "./d.js"}, {"node"}) == []  # a key that is active decides, whatever is in it
+    assert manifests.entry_targets(json.loads('{"main": "./lib/x.js", "bin": {"t": "cli.js"}, "browser": "../bad.js"}'), "browser") == [("browser", "../bad.js")]
+    assert not manifests.safe_entry("../bad.js") and manifests.safe_entry("./lib/x.js")
+    assert manifests.subpath_targets({"exports": {".": "a", "./x": [{"import": "./x.mjs"}, "./x.js"]}}, "node_import") == [("./x", "./x.mjs"), ("./x", "./x.js")]
+
+
+def test_workspace_patterns(spark):
+    text = """# all of it
+name: x
+packages:
+  - 'packages/*'  # two
+  - "apps/**"
+  - tools/one
+
+catalog:
+  - no
+"""
+    assert manifests.yaml_patterns(text) == ["packages/*", "apps/**", "tools/one"]
+    assert manifests.yaml_patterns("packages: [ 'a/*', b, \"c,d\" ]") == ["a/*", "b", "c,d"]
+    for bad in ("packages:\n  x: y", "packages: {a: b}", "packages:\n  - &x y"):
+        with pytest.raises(ValueError):
+            manifests.yaml_patterns(bad)
+    rows = [("package.json", '{"name": "a"}'), ("p/one/package.json", '{"name": "b"}'), ("p/two/package.json", '{"name": "b"}'), ("q/package.json", "[]")]
+    read = manifests.manifests(spark.createDataFrame(rows, "path string, text string"))
+    assert sorted(r.root for r in manifests.workspace_packages(read, ["p/one", "q"]).collect()) == ["", "p/one", "q"]
+    with pytest.raises(ValueError):
+        manifests.workspace_packages(read, ["p/*"])
+
+
+def test_profiles_and_configurations_that_can_not_be(spark):
+    schema = "name string, parent string, conditions array<string>, world string"
+    for rows in ([("a", "b", ["x"], None)], [("a", "b", [], None), ("b", "a", [], None)]):
+        with pytest.raises(ValueError):
+            manifests.resolved_profiles(spark.createDataFrame(rows, schema)).collect()
+    files = [("a/tsconfig.json", '{"extends": "../b/tsconfig.json"}'), ("b/tsconfig.json", '{"extends": "../a/tsconfig.json"}')]
+    with pytest.raises(ValueError):
+        manifests.configurations(spark.createDataFrame(files, "path string, text string"))
+
+
+def test_plugin_contracts(spark):
+    good = {"id": "my-kit", "version": "1.2.3", "displayName": "Kit", "packages": ["kit"], "configs": {"kit.config": "js ts"}, "entries": ["src/*.kit.ts"]}
+    assert [r[2:4] for r in plugins.validated(good)] == [("config", "kit.config.js"), ("config", "kit.config.ts"), ("entry", "src/*.kit.ts"), ("package", "kit")]
+    for wrong in ({"id": "My"}, {"version": "1"}, {"capabilities": ["fly"]}, {"entries": ["../x"]}, {"entries": ["/x"]}, {"rules": [{"rule": "file_edge", "value": "a", "other": "!b"}]}):
+        with pytest.raises(ValueError):
+            plugins.validated({**good, **wrong})
+    files = spark.createDataFrame([("w", f"w/src/{i}.ts", f"src/{i}.ts") for i in range(20)], "workspace string, path string, relative string")
+    found = spark.createDataFrame([("w", "k")], "workspace string, plugin string")
+    rules = spark.createDataFrame([("k", "K", "file_edge", "src/*.ts", "src/*.ts", "all")], plugins.RULES)
+    made, over = plugins.edges(files, found, rules)
+    assert made.count() == 0 and [(r.code, r.blocks) for r in over.collect()] == [("plugin_pattern_limit_exceeded", True)]
+    assert plugins.edges(files, found, rules, most=400)[0].count() == 400
 
 
 def test_scripts():

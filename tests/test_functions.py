@@ -20,7 +20,8 @@ def test_package_name(spark):
 
 
 def test_paths(spark):
-    assert values(spark, scalars.normal_path, ["a/./b/../c", "../x", "a//b/", ""]) == ["a/c", "x", "a/b", ""]
+    assert values(spark, scalars.normal_path, ["a/./b/../c", "../x", "a//b/", ""]) == ["a/b/c", "x", "a/b", ""]
+    assert values(spark, scalars.popped_path, ["a/./b/../c", "../x", "a//b/", "", "a/../../../b"]) == ["a/c", "../x", "a/b", "", "../../b"]
     assert values(spark, scalars.binary_name, ["node_modules/.bin/tsc.cmd", "C:\\x\\eslint.exe", "jest"]) == ["tsc", "eslint", "jest"]
     assert values(spark, scalars.runtime_output, ["a.ts", "a.mts", "a.cts", "a.tsx", "a.js"]) == ["a.js", "a.mjs", "a.cjs", "a.js", "a.js"]
     assert values(spark, scalars.uri_path, ["a b/ü*~+.js"]) == ["a%20b/%C3%BC%2A~%2B.js"]

@@ -11,6 +11,7 @@ FILES = {
     "src/dead-a.js": 'import "./dead-b";',
     "src/dead-b.js": 'import "./dead-a";',
     "src/alone.js": "import './lib';",
+    "package.json": '{"private": true, "dependencies": {"pkg": "1"}}',
 }
 
 
@@ -41,6 +42,30 @@ def test_missing_coverage_is_no_evidence(spark):
     assert result(scan(*frames(spark, {**FILES, "src/alone.js": "import(x)"})))[1] == [["src/alone.js"], ["src/dead-a.js", "src/dead-b.js"]]
 
 
+def test_imports_beside_the_universe(spark):
+    """Aliases, assets, formats that are not read, runtime modules and packages that nobody declares."""
+    base = {"src/a.ts": "", "src/b.ts": "", "src/look.css": "", "src/part.vue": "", "src/bin.node": "", "tsconfig.json": '{ // note\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}} }'}
+
+    def of(text, **more):
+        report = scan(*frames(spark, {**base, **more, "src/a.ts": text}, "src/a.ts"))
+        status, found = result(report)
+        return [(r.status, r.target) for r in report.imports.collect()], status["src/b.ts"], found, {r.code for r in report.diagnostics.collect()}
+
+    assert of('import "@/b";') == ([("resolved", "src/b.ts")], "reachable", [], set())
+    assert of('import "./look.css";')[:3] == ([("external", None)], "unreachable", [["src/b.ts"]])
+    for name in ("part.vue", "bin.node"):
+        assert of(f'import "./{name}";') == ([("unsupported", None)], "incomplete", [], {"unsupported_imported_source"})
+    assert of('import "./b.js?worker";')[:2] == ([("resolved", "src/b.ts")], "reachable")
+    assert of('import "node:fs";')[:3] == ([("external", None)], "unreachable", [["src/b.ts"]])
+    assert of('import "left-pad";') == ([("unsupported", None)], "incomplete", [], {"unsupported_specifier"})
+    declared = {"package.json": '{"dependencies": {"left-pad": "^1"}, "workspaces": ["kits/*"]}'}
+    assert of('import "left-pad/x";', **declared)[:3] == ([("external", None)], "unreachable", [["src/b.ts"]])
+    kit = {**declared, "kits/one/package.json": '{"name": "@k/one", "main": "lib/i.js", "exports": {".": {"node": "./lib/i.js"}, "./*": "./lib/*.js"}}', "kits/one/lib/i.ts": "", "kits/one/lib/x.ts": ""}
+    assert of('import "@k/one"; import "@k/one/x";', **kit)[0] == [("resolved", "kits/one/lib/i.ts"), ("resolved", "kits/one/lib/x.ts")]
+    assert of('import "@k/one/none";', **kit)[0] == [("unresolved", None)] and of('import "@k/one/none";', **kit)[2] == []
+    assert of('import "../../x";')[0] == [("unresolved", None)]
+
+
 def test_cache(spark, tmp_path):
     cache = FactCache(f"file://{tmp_path}/cache", keep=2)
     sources, entries = frames(spark, FILES)
