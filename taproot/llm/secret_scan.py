@@ -95,6 +95,11 @@ class Novelty:
         return (len(packer.compress(_FRAME + body)) - len(packer.compress(_FRAME))) / len(body)
 
 
+# Words in one letter case or with a capital first, or short numbers, with marks between them: what people name things.
+_PART = r"(?:(?:[A-Z]?[a-z]{2,}+)++\d{0,4}|[A-Z]{2,}+\d{0,4}|\d{1,4}|[a-z]\d{1,2})"
+_NAME = re.compile(rf"[_/=+-]*{_PART}(?:[_/=+-]++{_PART})+[_/=+-]*")
+
+
 def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
@@ -110,7 +115,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def novel_spans(text: str, base: list[tuple[int, str, int]], novelty: Novelty, least: float, reach: int = 48) -> list[tuple[int, str, int]]:
     """Incompressible candidates in reach, their parts outside base spans.
 
-    In reach are candidates within ``reach`` characters of a sensitive word on
+    Names, words and short numbers with marks between them, are none.  In reach are candidates within ``reach`` characters of a sensitive word on
     either side, those that directly follow a reported one or an assign or access
     span, and those in a private key block.  A candidate counts whole if any part
     of 16 characters or more, as cut by base spans, does.  A short padded last line
@@ -143,7 +148,7 @@ def novel_spans(text: str, base: list[tuple[int, str, int]], novelty: Novelty, l
             near = after < len(marks) and marks[after][0] - e <= reach
         near = near or (block < len(blocks) and blocks[block][0] <= s)
         near = near or (last is not None and 0 <= s - last <= reach and _GAP.fullmatch(text, last, s))
-        if not near or not _mixed(m[0]):
+        if not near or not _mixed(m[0]) or _NAME.fullmatch(m[0]):
             continue
         parts = _outside(taken, begin, s, e)
         if any(y - x >= 16 and _mixed(text[x:y]) and novelty(text, x, y) >= least for x, y in parts):
