@@ -115,10 +115,30 @@ with d as (select doc_id, row_number() over () as id, {_FOLDED} as w from docume
 select d.doc_id, b.item_id, n.n as n_item, c.c as n_found, c.c / n.n as containment from c join n on n.id = c.b join d on d.id = c.d join b on b.id = c.b where 100 * c.c >= 75 * n.n
 """
 
+_WEIGHT = "case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double"
+MIX = f"""
+with sized as (select doc_id, source, cast(len({_CUT}) as bigint) as size from documents),
+ s as (select source, cast(sum(size) as bigint) as n, {_WEIGHT} as w from sized group by source),
+ c as (select *, 3.0::double * n as most from s where n > 0),
+ o as (select *, row_number() over (order by most / w, source nulls last) as k, coalesce(sum(most) over (order by most / w, source nulls last rows between unbounded preceding and 1 preceding), 0.0)::double as full_before,
+  sum(w) over (order by most / w, source nulls last rows between current row and unbounded following) as ws, (sum(n) over ())::double as total from c),
+ f as (select min(k) as k from o where (total - full_before) * w / ws <= most),
+ l as (select total - full_before as rest, ws from o, f where o.k = f.k),
+ g as (select s.source, s.n, coalesce(case when f.k is null or o.k < f.k then o.most else l.rest * s.w / l.ws end, 0.0) as target from s left join o on o.source is not distinct from s.source left join f on true left join l on true),
+ d as (select row_number() over () as id, doc_id, size, source, md5(concat(coalesce(cast(doc_id as string), ''), ':17'))[1:15] as key from sized),
+ q as (select d.*, g.n, g.target, sum(size) over (partition by d.source order by key, doc_id, size, id) as upto from d join g on g.source is not distinct from d.source where size > 0 and target > 0),
+ t as (select q.*, r, (upto + r * n) / target as finish from q, (select unnest([0, 1, 2]) as r) x),
+ a as (select id, size, row_number() over w as place, sum(size) over w as upto from t window w as (order by finish, key, doc_id, size, r, id)),
+ cut as (select coalesce(max(place), 0) as place from a where upto - size / 2.0 <= (select sum(size) from sized)),
+ took as (select id, sum(a.size) as taken from a, cut where a.place <= cut.place group by id)
+select d.doc_id, d.size, g.n as source_size, g.target, cast(coalesce(took.taken, 0) as bigint) as taken from d join g on g.source is not distinct from d.source left join took on took.id = d.id
+"""
+
 ORACLES = {
     "op1_chat_formatting": CHAT,
     "op2_ngram_jaccard_join": NEAR,
     "op3_quality_rules": _quality(),
+    "op6_mixing": MIX,
     "op7_substring_dedup": REPEATS,
     "op8_license_scans": _licences(),
     "op9_benchmark_decontamination": LEAKS,

@@ -108,3 +108,17 @@ def base_spans(text):
     ):
         found += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[group]) >= least]
     return [x[2] for x in sorted(found)]
+
+
+def shares(sizes, weights, budget, most):
+    """The budget by weight, none above ``most`` times its size, the excess shared again until none is."""
+    target, left = [0.0] * len(sizes), budget
+    free = {i for i, s in enumerate(sizes) if s > 0}
+    while free:
+        total = sum(weights[i] for i in free)
+        over = {i for i in free if left * weights[i] / total > most * sizes[i]}
+        for i in over or free:
+            target[i] = most * sizes[i] if over else left * weights[i] / total
+        left -= sum(target[i] for i in over)
+        free = free - over if over else set()
+    return target

@@ -317,10 +317,16 @@ def test_chat(spark):
     assert chat.digests(chat.formatted(df.limit(0))).count() == 0
 
 
-def test_shares():
-    assert mixing.shares([100, 100], [1, 1], 100, 3) == [50, 50]
-    assert mixing.shares([10, 190], [5, 1], 200, 3) == [30, 170]
-    assert mixing.shares([], [], 0, 3) == [] and mixing.shares([0, 5], [1, 1], 5, 3) == [0, 5]
+def test_targets(spark):
+    """The budget by weight, none above three times its size; also against a plain loop."""
+    rng = random.Random(2)
+    cases = [([100, 100], 200), ([10, 190], 200), ([0, 5], 5), ([7], 7), ([1, 1, 1, 1000, 3], 1006)] + [([rng.choice((0, 1, 5, 50, 1000, 40_000)) for _ in range(rng.randint(1, 9))], None) for _ in range(6)]
+    for sizes, _ in cases:
+        names = [f"s{i}" for i in range(len(sizes) - 1)] + [None]
+        rows = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long")
+        got = {r.source: r.target for r in mixing.targets(rows).collect()}
+        want = brute.shares([float(x) for x in sizes], [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], float(sum(sizes)), 3)
+        assert [got[n] for n in names] == pytest.approx(want)
 
 
 def test_mixing(spark):
@@ -472,6 +478,51 @@ def test_pipeline_stages(spark):
         kept = out
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, target string, taken int, taken_id string, _tag int, node string, key long"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f g h", "en", "s", 1), (1, "a b c d e f g h", "en", "s", 1), (1, "other words under the same id as those", "en", "s", 2), (2, "A b c  d e f g h", None, None, None), (None, "a b c d e f g h", "en", "s", 3), (None, None, None, None, None), (3, None, "en", "t", 0), (4, "", "en", "t", 0), (4, "", "en", "t", 0), (5, long, "en", "t", 9), (6, "password = hunter22hunter22", "en", None, 4)]
+    docs = spark.createDataFrame([(*r, 7, "x", 8, "y", 9, "z", 10) for r in rows], schema)
+    at = str(tmp_path)
+    spark.createDataFrame([(1, 0, 0), (2, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(0, "a b c d e f g h"), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    left = {"ngram_jaccard_join": 9, "benchmark_decontamination": 7, "secret_scans": 11}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, at)
+        got = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert name not in left or len(got) == left[name], name
+        if name == "ngram_jaccard_join":
+            assert sorted((r.doc_id or -1, (r.text or "")[:9]) for r in got) == sorted([(1, "a b c d e"), (1, "other wor"), (-1, "a b c d e"), (-1, ""), (3, ""), (4, ""), (4, ""), (5, "w0 w1 w2 "), (6, "password ")])
+        if name == "mixing":
+            assert out.columns == [*docs.columns, "_size", "_target", "_taken", "copies"]
+            assert all(r.taken_id == "y" and r._taken == r._size * r.copies for r in got)
+        assert stage(spark, docs.limit(0), at).count() == 0
+
+
+def test_novelty_by_brute_force():
+    """Against every text, recall of random keys by length and alphabet, and what prose and code give."""
+    rng = random.Random(21)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": BASE64[:62], "base64": BASE64}
+    novelty = secret_scan.Novelty()
+    for name, letters in alphabets.items():
+        for n in (20, 32, 64, 200, 512, 1024, 4096):
+            hits = 0
+            for _ in range(12):
+                key = "".join(rng.choice(letters) for _ in range(n))
+                text = f"authorization: bearer {key}\nrest of the file"
+                spans = secret_scan.novel_spans(text, [], novelty, 0.75)
+                hits += any(a <= 22 and b >= 22 + n for a, _, b in spans)
+            assert hits >= 11, (name, n, hits)
+    plain = ["session_token_expiry_seconds_2", "https://www.example.com/auth/session/login/v2/index.html", "the_secret_password_of_the_user_1", "a" * 64 + "1", "0123456789" * 8, "authorization-header-middleware-2024"]
+    for p in plain:
+        text = f"secret token {p} and more"
+        assert secret_scan.novel_spans(text, [], novelty, 0.75) == [], p
+
+
 def test_signs_never_rule_out_a_link():
     rng = np.random.default_rng(4)
     for _ in range(200):
