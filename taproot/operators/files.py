@@ -17,7 +17,7 @@ def file_status(files: DataFrame, entries: DataFrame, edges: DataFrame, blockers
     A fatal file is incomplete.  A blocker on a reachable file makes all that is
     not reachable in its profile incomplete: missing coverage proves nothing.
     """
-    live = graph.reachable(edges, entries, limit).withColumn("live", F.lit(True))
+    live = graph.checkpointed(graph.reachable(edges, entries, limit)).withColumn("live", F.lit(True))
     blocked = blockers.join(live, ["profile", "path"], "left_semi").select("profile").distinct().withColumn("blocked", F.lit(True))
     rows = profiles.join(blocked, "profile", "left").join(files.select("path", "workspace", "fatal"))
     rows = rows.join(live, ["profile", "path"], "left")

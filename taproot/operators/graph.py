@@ -11,9 +11,10 @@ vertices with one way on get shortcuts of 2, 4, 8, ... steps first.
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections import defaultdict, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not spark.sparkContext.master.startswith("local"):
+        if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="taproot-"))
     return df.checkpoint(eager=True)
@@ -37,20 +38,38 @@ def _small(edges: DataFrame, limit: int | None) -> bool:
     return edges.limit(limit + 1).count() <= limit
 
 
-def _per_profile(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
-    """Runs ``kernel(profile, left rows, right rows)`` where each profile's rows meet."""
+def _per_profile(edges: DataFrame, nodes: DataFrame, kernel, schema: str) -> DataFrame:
+    """Runs ``kernel(names, src, dst, nodes)`` where each profile's rows meet.
+
+    Paths are numbered in their byte order, so that kernels handle integers only:
+    ``names`` are the paths, ``src`` and ``dst`` the ends of edges sorted by both,
+    ``nodes`` the other table with its path numbered.
+    """
 
     def run(key, a: pa.Table, b: pa.Table):
-        rows = list(kernel(a.to_pylist(), b.to_pylist()))
-        names = [x.split()[0] for x in schema.split(", ")]
-        profile = key[0].as_py()
-        cols = {n: [profile if n == "profile" else r[n] for r in rows] for n in names}
+        coded = pa.chunked_array([*a["src"].chunks, *a["dst"].chunks, *b["path"].chunks], pa.string()).combine_chunks().dictionary_encode()
+        words = np.array(coded.dictionary.to_pylist(), object)
+        order = np.array(sorted(range(len(words)), key=lambda i: words[i].encode()), np.int64)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        codes = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        n = a.num_rows
+        src, dst, own = codes[:n], codes[n : 2 * n], codes[2 * n :]
+        by = np.lexsort((dst, src))
+        names = words[order]
+        found = kernel(names, src[by], dst[by], b.set_column(b.column_names.index("path"), "path", pa.array(own)))
+        rows = len(next(iter(found.values()), []))
         types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
-        return pa.table({n: pa.array(cols[n], types[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)})
+        return pa.table({c: pa.array([key[0].as_py()] * rows if c == "profile" else found[c], types[t]) for c, t in (x.split() for x in schema.split(", "))})
 
     # new names for the columns: both sides may come from one table
-    left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (left, right))
-    return left.groupBy("profile").cogroup(right.groupBy("profile")).applyInArrow(run, schema)
+    edges, nodes = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (edges, nodes))
+    return edges.groupBy("profile").cogroup(nodes.groupBy("profile")).applyInArrow(run, schema)
+
+
+def _ways(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Where each vertex's ways on begin in the sorted edges, and where those lead."""
+    return np.searchsorted(src, np.arange(n + 1)).tolist(), dst.tolist()
 
 
 def with_shortcuts(edges: DataFrame, steps: int = 20) -> DataFrame:
@@ -68,25 +87,25 @@ def with_shortcuts(edges: DataFrame, steps: int = 20) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, limit: int | None = None) -> DataFrame:
     """(profile, path) of all that ``roots(profile, path)`` reach over ``edges(profile, src, dst)``, roots included."""
-    edges = edges.select("profile", "src", "dst").where("src is not null and dst is not null").distinct()
+    edges = checkpointed(edges.select("profile", "src", "dst").where("src is not null and dst is not null").distinct())
     roots = roots.select("profile", "path").where("path is not null").distinct()
     if _small(edges, limit):
 
-        def kernel(rows, starts):
-            out = defaultdict(list)
-            for r in rows:
-                out[r["src"]].append(r["dst"])
-            seen = {r["path"] for r in starts}
-            queue = deque(seen)
-            while queue:
-                for d in out.get(queue.popleft(), ()):
-                    if d not in seen:
-                        seen.add(d)
-                        queue.append(d)
-            return ({"path": p} for p in sorted(seen))
+        def kernel(names, src, dst, starts):
+            begin, to = _ways(src, dst, len(names))
+            seen = np.zeros(len(names), bool)
+            todo = np.unique(starts["path"].to_numpy()).tolist()
+            seen[todo] = True
+            while todo:
+                v = todo.pop()
+                for w in to[begin[v] : begin[v + 1]]:
+                    if not seen[w]:
+                        seen[w] = True
+                        todo.append(w)
+            return {"path": names[seen].tolist()}
 
         return _per_profile(edges, roots, kernel, "profile string, path string")
-    edges = checkpointed(with_shortcuts(checkpointed(edges)))
+    edges = checkpointed(with_shortcuts(edges))
     seen = new = checkpointed(roots)
     while True:
         step = new.withColumnRenamed("path", "src").join(edges, ["profile", "src"]).select("profile", F.col("dst").alias("path")).distinct()
@@ -101,9 +120,10 @@ def strong_components(edges: DataFrame, nodes: DataFrame, limit: int | None = No
 
     component is its smallest path; cyclic tells whether it has several members or an edge to itself.
     """
-    nodes = nodes.select("profile", "path").where("path is not null").distinct()
+    nodes = checkpointed(nodes.select("profile", "path").where("path is not null").distinct())
     ends = [nodes.withColumnRenamed("path", c) for c in ("src", "dst")]
     edges = edges.select("profile", "src", "dst").distinct().join(ends[0], ["profile", "src"], "left_semi").join(ends[1], ["profile", "dst"], "left_semi").select("profile", "src", "dst")
+    edges = checkpointed(edges)
     loops = edges.where("src = dst").select("profile", F.col("src").alias("path"), F.lit(True).alias("loop"))
     found = _kernel_components(edges, nodes) if _small(edges, limit) else _looped_components(edges, nodes)
     size = Window.partitionBy("profile", "component")
@@ -112,42 +132,47 @@ def strong_components(edges: DataFrame, nodes: DataFrame, limit: int | None = No
 
 
 def _kernel_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    def kernel(rows, members):
+    def kernel(names, src, dst, members):
         # Tarjan's algorithm with an explicit stack.
-        out = defaultdict(list)
-        for r in rows:
-            out[r["src"]].append(r["dst"])
-        index, low, on, stack = {}, {}, set(), []
-        for root in sorted(r["path"] for r in members):
-            if root in index:
+        begin, to = _ways(src, dst, len(names))
+        index, low, on = [-1] * len(names), [0] * len(names), bytearray(len(names))
+        stack, component, count = [], [-1] * len(names), 0
+        own = np.unique(members["path"].to_numpy()).tolist()
+        for root in own:
+            if index[root] >= 0:
                 continue
-            work = [(root, iter(out[root]))]
-            index[root] = low[root] = len(index)
+            work = [(root, begin[root])]
+            index[root] = low[root] = count
+            count += 1
             stack.append(root)
-            on.add(root)
+            on[root] = 1
             while work:
-                v, more = work[-1]
-                for w in more:
-                    if w not in index:
-                        index[w] = low[w] = len(index)
+                v, at = work.pop()
+                for i in range(at, begin[v + 1]):
+                    w = to[i]
+                    if index[w] < 0:
+                        index[w] = low[w] = count
+                        count += 1
                         stack.append(w)
-                        on.add(w)
-                        work.append((w, iter(out[w])))
+                        on[w] = 1
+                        work += [(v, i + 1), (w, begin[w])]
                         break
-                    if w in on:
+                    if on[w]:
                         low[v] = min(low[v], index[w])
                 else:
-                    work.pop()
                     if work:
                         low[work[-1][0]] = min(low[work[-1][0]], low[v])
                     if low[v] == index[v]:
-                        group = []
-                        while not group or group[-1] != v:
-                            group.append(stack.pop())
-                            on.discard(group[-1])
+                        at = len(stack) - 1
+                        while stack[at] != v:
+                            at -= 1
+                        group = stack[at:]
+                        del stack[at:]
                         least = min(group)
                         for w in group:
-                            yield {"path": w, "component": least}
+                            on[w] = 0
+                            component[w] = least
+        return {"path": names[own].tolist(), "component": names[np.array(component, np.int64)[own]].tolist()}
 
     return _per_profile(edges, nodes, kernel, "profile string, path string, component string")
 
@@ -155,7 +180,7 @@ def _kernel_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _looped_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Trim vertices without a way in or out; then colour forward and collect backward, until none is left."""
     done = None
-    edges, nodes = checkpointed(edges.where("src <> dst")), checkpointed(nodes)
+    edges = checkpointed(edges.where("src <> dst"))
 
     def add(rows):
         nonlocal done
@@ -204,29 +229,25 @@ def discovery(edges: DataFrame, roots: DataFrame, limit: int | None = None) -> D
     a shortest path; following parents gives the shortest path that the order
     prefers.
     """
-    edges = edges.select("profile", "src", "dst").where("src is not null and dst is not null").distinct()
+    edges = checkpointed(edges.select("profile", "src", "dst").where("src is not null and dst is not null").distinct())
     roots = roots.groupBy("profile", "path").agg(F.min("position").alias("position"))
     schema = "profile string, path string, depth int, rank long, parent string"
     if _small(edges, limit):
 
-        def kernel(rows, starts):
-            out = defaultdict(list)
-            for r in rows:
-                out[r["src"]].append(r["dst"])
-            found, queue = {}, deque()
-            for r in sorted(starts, key=lambda r: (r["position"], r["path"])):
-                found[r["path"]] = (0, len(found), None)
-                queue.append(r["path"])
-            while queue:
-                v = queue.popleft()
-                for w in sorted(out.get(v, ())):
-                    if w not in found:
-                        found[w] = (found[v][0] + 1, len(found), v)
-                        queue.append(w)
-            return ({"path": p, "depth": d, "rank": r, "parent": v} for p, (d, r, v) in found.items())
+        def kernel(names, src, dst, starts):
+            begin, to = _ways(src, dst, len(names))
+            depth, rank, parent, found = [-1] * len(names), [0] * len(names), [-1] * len(names), []
+            for _, v in sorted(zip(starts["position"].to_pylist(), starts["path"].to_pylist(), strict=True)):
+                depth[v], rank[v] = 0, len(found)
+                found.append(v)
+            for v in found:  # grows as it is read
+                for w in to[begin[v] : begin[v + 1]]:
+                    if depth[w] < 0:
+                        depth[w], rank[w], parent[w] = depth[v] + 1, len(found), v
+                        found.append(w)
+            return {"path": names[found].tolist(), "depth": [depth[v] for v in found], "rank": [rank[v] for v in found], "parent": [names[parent[v]] if parent[v] >= 0 else None for v in found]}
 
         return _per_profile(edges, roots, kernel, schema)
-    edges = checkpointed(edges)
     new = roots.withColumn("rank", F.row_number().over(Window.partitionBy("profile").orderBy("position", "path")) - 1)
     new = checkpointed(new.select("profile", "path", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("rank"), F.lit(None).cast("string").alias("parent")))
     seen, depth = new, 0

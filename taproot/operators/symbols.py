@@ -26,6 +26,7 @@ def liveness(symbols: DataFrame, links: DataFrame, roots: DataFrame, limit: int
     edges = links.select(one, _key("src_path", "src_symbol").alias("src"), _key("dst_path", "dst_symbol").alias("dst"), "usage")
     edges = edges.join(known.withColumnRenamed("path", "src"), "src", "left_semi").join(known.withColumnRenamed("path", "dst"), "dst", "left_semi")
     start = roots.select(one, _key("path", "symbol").alias("path"), "usage").join(known, "path", "left_semi")
+    edges, start = graph.checkpointed(edges.distinct()), graph.checkpointed(start)
     live = graph.reachable(edges.select("profile", "src", "dst"), start.select("profile", "path"), limit)
     given = edges.join(live.withColumnRenamed("path", "src"), ["profile", "src"], "left_semi").select(F.col("dst").alias("key"), "usage").union(start.select(F.col("path").alias("key"), "usage"))
     lanes = given.groupBy("key").agg(F.bool_or(F.col("usage") == "runtime").alias("runtime"), F.bool_or(F.col("usage") == "type").alias("type"))
@@ -39,6 +40,7 @@ def dead_groups(live: DataFrame, links: DataFrame, limit: int | None = None) ->
     Import bindings are part of groups but not of reports; a group of imports only is not reported.
     """
     dead = live.where("not runtime and not type").where(~F.col("kind").isin(*NOT_REPORTABLE)).withColumn("key", _key("path", "symbol"))
+    dead = graph.checkpointed(dead)
     one = F.lit("all").alias("profile")
     edges = links.select(one, _key("src_path", "src_symbol").alias("src"), _key("dst_path", "dst_symbol").alias("dst"))
     groups = graph.strong_components(edges, dead.select(one, F.col("key").alias("path")), limit).select(F.col("path").alias("key"), "component", "cyclic")

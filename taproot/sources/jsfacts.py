@@ -41,6 +41,9 @@ class Facts:
     exports: list = field(default_factory=list)
     bindings: list = field(default_factory=list)
     diagnostics: list = field(default_factory=list)
+    symbols: list = field(default_factory=list)
+    refs: list = field(default_factory=list)
+    guards: list = field(default_factory=list)
 
 
 def unquoted(s: str) -> str:
@@ -345,8 +348,127 @@ class Reader:
             i += 1
         if stack:
             raise SyntaxError("unbalanced brackets")
+        self.scopes()
         return self.out
 
+    def closing(self, i: int) -> int:
+        """The token that closes the bracket opened at ``i``."""
+        depth = 0
+        for j in range(i, len(self.t)):
+            if self.kind(j) == "pun":
+                depth += self.at(j) in "([{" and self.at(j) != ""
+                depth -= self.at(j) in ")]}"
+                if not depth:
+                    return j
+        return len(self.t) - 1
+
+    def body(self, i: int, name: int, word: str) -> int | None:
+        """The last token of a declaration that runs, or is looked at, only when its name is; None if that isn't sure."""
+        j = name + 1
+        if word in ("function", "class", "enum", "interface", "namespace"):
+            while j < len(self.t) and self.at(j) not in ("{", ";"):
+                j = self.closing(j) + 1 if self.at(j) in ("(", "[") else j + 1
+            if self.at(j) != "{":
+                return None
+            end = self.closing(j)
+            inside = [self.at(k) for k in range(i, end) if self.kind(k) in ("id", "pun")]
+            # what a class or a namespace does as it is declared is no use of its name
+            return None if word in ("class", "enum", "namespace") and ({"static", "@", "extends", "=", "["} & set(inside) or word == "namespace") else end
+        if word == "type":
+            while j < len(self.t) and self.at(j) != ";":
+                if self.at(j) in ("export", "import", "const", "let", "var", "function", "class", "type", "interface", "enum"):
+                    return None
+                j = self.closing(j) + 1 if self.at(j) in ("(", "[", "{") else j + 1
+            return j if j < len(self.t) else None
+        if word in ("const", "let", "var") and self.at(j) == "=":
+            j += 1
+            j += self.at(j) == "async"
+            if self.at(j) == "function":
+                while j < len(self.t) and self.at(j) != "{":
+                    j = self.closing(j) + 1 if self.at(j) == "(" else j + 1
+                end = self.closing(j)
+                return end if self.at(end + 1) in (";", "") else None
+            k = self.closing(j) + 1 if self.at(j) == "(" else j + 1
+            if self.at(k) == "=>" and self.at(k + 1) == "{":
+                end = self.closing(k + 1)
+                return end if self.at(end + 1) in (";", "") else None
+        return None
+
+    def scopes(self) -> None:
+        """Module-level symbols, and references to them.
+
+        A reference inside a declaration that only its own name brings to life is
+        owned by it; every other one counts as soon as the module runs.  A name
+        inside a function may hide a symbol, and a key may look like one: both
+        count as references, so what is reported dead surely is.
+        """
+        owner: dict[int, str] = {}
+        named: dict[str, str] = {}
+        skipped: set[int] = set()
+        i = 0
+        while i < len(self.t):
+            x = self.at(i)
+            if self.kind(i) == "pun" and x in "([{":
+                i = self.closing(i) + 1
+                continue
+            if self.kind(i) != "id" or self.at(i - 1) in (".", "?."):
+                i += 1
+                continue
+            if x == "import" and self.at(i + 1) not in ("(", "."):
+                while i < len(self.t) and self.kind(i) != "str":
+                    skipped.add(i)
+                    i += 1
+                continue
+            if x == "export" and self.at(i + 1) in ("{", "*") or (x == "export" and self.at(i + 1) == "type" and self.at(i + 2) == "{"):
+                j = self.closing(i + 1 + (self.at(i + 1) == "type")) if self.at(i + 1) != "*" else i + 1
+                skipped.update(range(i, j + 1))
+                i = j + 1
+                continue
+            word, j = x, i
+            while self.at(j) in ("export", "default", "declare", "abstract", "async"):
+                j += 1
+            word = self.at(j)
+            if word == "const" and self.at(j + 1) == "enum":
+                j, word = j + 1, "enum"
+            if word in _DECLARED and self.kind(j + 1) in ("id", "pun"):
+                k = j + 1 + (self.at(j + 1) == "*")
+                if _DECLARED[word] == "variable":
+                    names = [n for n in self.declared(k)]
+                    for n in names:
+                        named.setdefault(n, "variable")
+                    single = len(names) == 1 and self.at(k) == names[0]
+                elif self.kind(k) == "id":
+                    names, single = [self.at(k)], True
+                    named[self.at(k)] = _DECLARED[word] if named.get(self.at(k)) != "variable" else "variable"
+                else:
+                    names, single = [], False
+                if single:
+                    skipped.add(k)
+                    end = self.body(i, k, word)
+                    if end is not None and named[names[0]] == _DECLARED[word]:
+                        owner.update((t, names[0]) for t in range(i, end + 1))
+                        i = end + 1
+                        continue
+                i = k
+                continue
+            i += 1
+        for _, _, local, _, typed in self.out.bindings:
+            named.setdefault(local, "import")
+        at: dict[str, tuple[int, int]] = {}
+        found = set()
+        for i, t in enumerate(self.t):
+            if t.kind == "id" and t.text in named:
+                at.setdefault(t.text, (i, i))
+                if i not in skipped and self.at(i - 1) not in (".", "?."):
+                    by = owner.get(i)
+                    found.add((by, t.text, "type" if by and named[by] in ("interface", "type_alias") else "runtime"))
+            if t.kind == "id" and self.at(i - 1) not in (".", "?.") and self.at(i + 1) == "(" and t.text in ("eval", "with"):
+                self.out.guards.append(("direct_eval" if t.text == "eval" else "with_statement",))
+        if any(e[0] == "module.exports" for e in self.out.exports):
+            self.out.guards.append(("opaque_common_js_exports",))
+        self.out.symbols = [(n, k, *self.span(*at[n])) for n, k in named.items() if n in at]
+        self.out.refs = sorted(found, key=str)
+
 
 def read_facts(text: str) -> Facts:
     """The facts of one source; one that can't be read has a blocking ``parse_failure`` alone."""
@@ -362,6 +484,9 @@ FIELDS = {
     "exports": "exported string, source string, imported string, local string, kind string, type_only boolean, start int, end int",
     "bindings": "source string, imported string, local string, kind string, type_only boolean",
     "diagnostics": "code string, severity string, start int, end int, message string, blocks boolean",
+    "symbols": "name string, kind string, start int, end int",
+    "refs": "owner string, name string, usage string",
+    "guards": "kind string",
 }
 
 

@@ -2,16 +2,17 @@
 
 import pytest
 
-from taproot import catalog
+from taproot import catalog, catalog_modules, catalog_projects, catalog_reports  # noqa: F401  they register their queries
+from taproot.registry import QUERIES, SQL
 from tests.compare import difference
 from tests.conftest import SMALL
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    df = catalog.QUERIES[name](spark, SMALL)
-    if name in catalog.SQL:
-        assert difference(df, SMALL, catalog.SQL[name]) == ""
+    df = QUERIES[name](spark, SMALL)
+    if name in SQL:
+        assert difference(df, SMALL, SQL[name]) == ""
     else:
         assert df.columns and df.count() >= 0
 

@@ -51,19 +51,42 @@ def test_imports_beside_the_universe(spark):
         status, found = result(report)
         return [(r.status, r.target) for r in report.imports.collect()], status["src/b.ts"], found, {r.code for r in report.diagnostics.collect()}
 
+    # one scan of many imports, each from a file of its own
+    lines = {"alias": 'import "@/b";', "asset": 'import "./look.css";', "vue": 'import "./part.vue";', "node": 'import "./bin.node";', "query": 'import "./b.js?worker";', "builtin": 'import "node:fs";', "bare": 'import "right-pad";', "declared": 'import "left-pad/x";', "kit": 'import "@k/one";', "deep": 'import "@k/one/x";', "none": 'import "@k/one/none";', "out": 'import "../../x";'}
+    kit = {"package.json": '{"dependencies": {"left-pad": "^1"}, "workspaces": ["kits/*"]}', "kits/one/package.json": '{"name": "@k/one", "main": "lib/i.js", "exports": {".": {"node": "./lib/i.js"}, "./*": "./lib/*.js"}}', "kits/one/lib/i.ts": "", "kits/one/lib/x.ts": ""}
+    report = scan(*frames(spark, {**base, **kit, **{f"src/{k}.ts": v for k, v in lines.items()}}, "src/a.ts"))
+    got = {r.path[4:-3]: (r.status, r.target, r.code) for r in report.imports.collect()}
+    assert got == {
+        "alias": ("resolved", "src/b.ts", None), "asset": ("external", None, None), "vue": ("unsupported", None, "unsupported_imported_source"), "node": ("unsupported", None, "unsupported_imported_source"),
+        "query": ("resolved", "src/b.ts", None), "builtin": ("external", None, None), "bare": ("unsupported", None, "unsupported_specifier"), "declared": ("external", None, None),
+        "kit": ("resolved", "kits/one/lib/i.ts", None), "deep": ("resolved", "kits/one/lib/x.ts", None), "none": ("unresolved", None, "unresolved_import"), "out": ("unresolved", None, "unresolved_import"),
+    }
     assert of('import "@/b";') == ([("resolved", "src/b.ts")], "reachable", [], set())
     assert of('import "./look.css";')[:3] == ([("external", None)], "unreachable", [["src/b.ts"]])
-    for name in ("part.vue", "bin.node"):
-        assert of(f'import "./{name}";') == ([("unsupported", None)], "incomplete", [], {"unsupported_imported_source"})
-    assert of('import "./b.js?worker";')[:2] == ([("resolved", "src/b.ts")], "reachable")
-    assert of('import "node:fs";')[:3] == ([("external", None)], "unreachable", [["src/b.ts"]])
-    assert of('import "left-pad";') == ([("unsupported", None)], "incomplete", [], {"unsupported_specifier"})
-    declared = {"package.json": '{"dependencies": {"left-pad": "^1"}, "workspaces": ["kits/*"]}'}
-    assert of('import "left-pad/x";', **declared)[:3] == ([("external", None)], "unreachable", [["src/b.ts"]])
-    kit = {**declared, "kits/one/package.json": '{"name": "@k/one", "main": "lib/i.js", "exports": {".": {"node": "./lib/i.js"}, "./*": "./lib/*.js"}}', "kits/one/lib/i.ts": "", "kits/one/lib/x.ts": ""}
-    assert of('import "@k/one"; import "@k/one/x";', **kit)[0] == [("resolved", "kits/one/lib/i.ts"), ("resolved", "kits/one/lib/x.ts")]
-    assert of('import "@k/one/none";', **kit)[0] == [("unresolved", None)] and of('import "@k/one/none";', **kit)[2] == []
-    assert of('import "../../x";')[0] == [("unresolved", None)]
+    assert of('import "./part.vue";')[1:] == ("incomplete", [], {"unsupported_imported_source"})
+
+
+def test_exports_and_declarations(spark):
+    """Recursion without a live root is dead; what an entry, a star or a namespace uses is not."""
+    base = {
+        "src/index.ts": 'import { run } from "./graph.js"; import * as all from "./kit"; console.log(run(), all.one);',
+        "src/graph.ts": "export function run() { return leaf(); } function leaf() { return 1; } export function deadA() { return deadB(); } export function deadB() { return deadA(); } const lone = () => { return 2; };",
+        "src/kit.ts": 'export * from "./parts"; export { made as other } from "./more";',
+        "src/parts.ts": "export const one = 1; export interface Shape { a: Size } type Size = 1; export function quiet() { eval('x'); }",
+        "src/more.ts": "export const made = 1; export const spare = 2;",
+    }
+
+    def of(files, **options):
+        report = scan(*frames(spark, files, "src/index.ts"), **options)
+        exports, declarations = report.symbol_findings()
+        return sorted((r.path, r.exported) for r in exports.collect()), sorted((r.symbols, r.cyclic) for r in declarations.collect())
+
+    assert of(base) == ([("src/graph.ts", "deadA"), ("src/graph.ts", "deadB"), ("src/more.ts", "spare")], [("deadA, deadB", True), ("lone", False), ("spare", False)])
+    # missing coverage is no evidence here either
+    assert of({**base, "src/more.ts": base["src/more.ts"] + " import(x);"}) == ([], [])
+    contract = {**base, "src/index.ts": base["src/index.ts"] + ' export { spare } from "./more"; export const own = 1;'}
+    assert ("src/index.ts", "own") in of(contract)[0] and ("src/index.ts", "own") not in of(contract, open_world=True)[0]
+    assert ("spare", False) not in of(contract, open_world=True)[1]
 
 
 def test_cache(spark, tmp_path):
@@ -76,6 +99,10 @@ def test_cache(spark, tmp_path):
         warm = result(scan(*frames(spark, changed), cache))
         assert warm == result(scan(*frames(spark, changed)))
     assert len(cache.snapshots(spark)) == 2
+    # a change that leaves a file's imports alike has the report of before
+    same = {**FILES, "src/alone.js": "import './lib'; // more"}
+    assert result(scan(*frames(spark, same), cache)) == cold
+    assert result(scan(*frames(spark, {**same, "src/alone.js": ""}), cache))[1] == [["src/alone.js"], ["src/dead-a.js", "src/dead-b.js"]]
 
 
 def test_stream(spark, tmp_path):
