@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taproot.operators import files, graph, modules, symbols
@@ -62,7 +62,7 @@ def scan(sources: DataFrame, entries: DataFrame, cache: FactCache | None = None,
         return _scanned(graph.checkpointed(jsfacts.extracted(code)), rest, entries, discovered, open_world)
     spark = sources.sparkSession
     facts = cache.facts(code)
-    said = facts.select("path", F.to_json(F.struct(*[F.transform(n, lambda x, n=n: F.struct(*[x[c] for c in _SAID[n]])).alias(n) for n in _SAID])).alias("said"))
+    said = facts.select("path", F.to_json(F.struct(*[_parts(n, fields).alias(n) for n, fields in _SAID.items()])).alias("said"))
     around = rest.select("path", F.when(F.col("path").rlike(_READ), F.col("text")).alias("said"))
     roots = entries.select("path", F.concat(F.lit("entry of "), "profile").alias("said"))
     key = digest_of(said.union(around).union(roots).union(spark.range(1).select(F.lit(""), F.lit(f"{discovered} {open_world}"))))
@@ -83,6 +83,10 @@ _SAID = {
 _READ = "(?:^|/)(?:package|[jt]sconfig[^/]*)\\.json$"
 
 
+def _parts(name: str, fields: tuple[str, ...]) -> Column:
+    return F.transform(name, lambda x: F.struct(*[x[c] for c in fields]))
+
+
 def _scanned(facts: DataFrame, rest: DataFrame, entries: DataFrame, discovered: bool, open_world: bool) -> Report:
     spark = facts.sparkSession
     paths = facts.select("path")
