@@ -289,3 +289,7 @@ def member_order(spark, d):
     return reporting.ranks(rows, reporting.ordered_members(rows), ["class", "name", "is_static"])
 
 
+@query("with i as (select distinct case l_linenumber when 1 then 'ORP1001' when 2 then 'ORP2001' when 3 then 'ORP3001' else 'ORP9999' end as issue_id from lineitem) select issue_id, case issue_id when 'ORP1001' then 'A source file has no path from any configured entry' when 'ORP2001' then 'A declared dependency has no evidence of use' when 'ORP3001' then 'A workspace package has no evidence of use' end as about from i")
+def issue_descriptions(spark, d):
+    ids = _t(spark, d, "lineitem").selectExpr("case l_linenumber when 1 then 'ORP1001' when 2 then 'ORP2001' when 3 then 'ORP3001' else 'ORP9999' end as issue_id").distinct()
+    return ids.select("issue_id", reporting.described(F.col("issue_id")).alias("about"))

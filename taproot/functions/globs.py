@@ -8,11 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def wildcard_regex(pattern: str) -> str:
-    """``*`` any run and ``?`` any one character, over the whole name."""
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
-
-
 def glob_regex(pattern: str) -> str:
     """One ignore-file pattern, without its ``!``, as a regex over relative paths.
 
@@ -51,7 +46,3 @@ def ignored(path: Column, patterns: list[str]) -> Column:
             continue
         out = F.when(path.rlike(glob_regex(p.removeprefix("!"))), not p.startswith("!")).otherwise(out)
     return out
-
-
-def detected(name: Column, pattern: str) -> Column:
-    return name.rlike(wildcard_regex(pattern))

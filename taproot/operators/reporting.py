@@ -69,6 +69,11 @@ def retentions_of_blocked(findings: DataFrame, blocking: DataFrame, root: str =
     return kept, held.select("profile", display_item().alias("item"), scalars.issue_name(F.col("issue_type")).alias("item_type"), "workspace", F.lit("coverage is incomplete").alias("summary"), F.transform("codes", lambda c: F.concat(F.lit("blocked by "), c)).alias("evidence"))
 
 
+def described(issue_id: Column) -> Column:
+    """What an issue is about; null for one that isn't known."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ISSUES.items() for x in pair]), issue_id)
+
+
 def display_item() -> Column:
     """What a finding is called: its symbol, its dependency, or its paths."""
     return F.coalesce("symbol", "dependency", F.array_join("paths", ", "))

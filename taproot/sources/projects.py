@@ -14,8 +14,6 @@ from taproot.operators import graph
 
 #: Folders that a search for sources never enters, beside that of our own cache.
 SKIPPED = ("node_modules", ".git", ".hg", ".svn", "target", "dist", "build", "coverage", ".next", ".nuxt", ".svelte-kit", ".turbo", ".cache", ".taproot")
-#: What makes a folder a repository of its own.
-REPOSITORY_MARKS = (".git", ".hg", ".svn")
 MAX_FILES = 100_000
 
 
