@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taproot.operators import plugins
+from taproot.operators import graph, plugins
 from taproot.registry import query
 from taproot.registry import table as _t
 from taproot.sources import manifests, projects
@@ -70,7 +70,8 @@ def _joined(*paths: str) -> str:
 )
 def workspace_module_targets(spark, d):
     files = _t(spark, d, "part").where("p_partkey % 6 = 1").selectExpr("explode(transform(array('m', 'd', 'x', 'lib/a', 'lib/b'), x -> concat('w', p_partkey, '/', x, '.ts'))) as path")
-    found = manifests.module_targets(_manifests(spark, d), files)
+    packages = graph.checkpointed(_manifests(spark, d).select("name", "root", "entries", "subpaths"))
+    found = manifests.module_targets(packages, files)
     return found.select("package", "specifier", F.array_join("esm", ",").alias("esm"), F.array_join("common_js", ",").alias("common_js"))
 
 

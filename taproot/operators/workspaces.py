@@ -16,10 +16,11 @@ def ancestors(path: Column) -> Column:
 def nearest(paths: DataFrame, roots: DataFrame, name: str = "owner") -> DataFrame:
     """``paths(path)`` with the nearest containing one of ``roots(root)``, null if none.
 
-    A path meets its own directories only, by hash: no range join.
+    A path meets its own directories only, by hash: no range join.  Both sides are
+    plain tables, so that Spark can split what lies below one hot directory.
     """
     rows = paths.select("path", F.posexplode(ancestors(F.col("path"))).alias("up", "root"))
-    found = rows.join(roots.select("root").distinct(), "root").groupBy("path").agg(F.min_by("root", "up").alias(name))
+    found = rows.join(roots.select("root"), "root", "left_semi").groupBy("path").agg(F.min_by("root", "up").alias(name))
     return paths.join(found, "path", "left")
 
 

@@ -238,35 +238,36 @@ def module_targets(packages: DataFrame, files: DataFrame, configs: DataFrame | N
 
     Entry roots answer for the name itself, ``./x`` exports for name/x; a ``*`` in
     both key and target stands for what a file's emitted path holds there.  A
-    package without any has a row without paths.
+    package without any has a row without paths.  ``packages`` is read several
+    times.  Spark takes exploded paths and parsed texts for far smaller than they
+    are, so joins are sort-merge joins: no package or file passes the driver.
     """
     named = packages.where("name is not null").select("name", "root", "entries", "subpaths")
     base = F.when(F.col("root") == "", F.lit("")).otherwise(F.concat("root", F.lit("/")))
     own = named.select("name", F.col("name").alias("specifier"), base.alias("base"), F.posexplode("entries").alias("n", "e")).select("name", "specifier", "n", F.col("e.kind").alias("kind"), F.concat("base", "e.target").alias("place"))
-    sub = named.select("name", base.alias("base"), F.posexplode("subpaths").alias("n", "e")).select("name", (F.col("n") + 100_000).alias("n"), "e.*", "base")
+    sub = named.select("name", "root", base.alias("base"), F.posexplode("subpaths").alias("n", "e")).select("name", "root", (F.col("n") + 100_000).alias("n"), "e.*", "base")
     stars = F.length(F.regexp_replace("key", "[^*]", "")), F.length(F.regexp_replace("target", "[^*]", ""))
     tail = F.regexp_replace("key", r"^(?:\./)+", "")
     plain = sub.where((stars[0] == 0) & (stars[1] == 0)).select("name", F.concat("name", F.lit("/"), tail).alias("specifier"), "n", "kind", F.concat("base", "target").alias("place"))
     direct = mapped_entries(own.unionByName(plain), files, configs)
     # Wildcards: files meet only the patterns of their own package.
     wild = sub.where((stars[0] == 1) & (stars[1] == 1)).withColumn("pattern", F.concat("base", "target"))
-    emitted = files.select("path", F.explode(F.array_distinct(F.array(F.col("path"), scalars.runtime_output(F.col("path"))))).alias("out"))
-    homes = nearest(files.select("path"), packages.select("root"), "root")
+    homes = nearest(files.select("path").hint("merge"), packages.select("root").hint("merge"), "root").where("root is not null")
+    emitted = homes.select("root", "path", F.explode(F.array_distinct(F.array(F.col("path"), scalars.runtime_output(F.col("path"))))).alias("out"))
     before, after = F.expr("substring(pattern, 1, instr(pattern, '*') - 1)"), F.expr("substring(pattern, instr(pattern, '*') + 1)")
-    both = wild.join(packages.where("name is not null").select("name", "root"), "name").join(homes.where("root is not null"), "root").join(emitted, "path").withColumn("before", before).withColumn("after", after)
+    both = wild.hint("merge").join(emitted, "root").withColumn("before", before).withColumn("after", after)
     both = both.where(F.startswith("out", F.col("before")) & F.endswith("out", F.col("after")) & (F.length("out") >= F.length("before") + F.length("after")))
     held = F.expr("substring(out, length(before) + 1, length(out) - length(before) - length(after))")
     starred = both.select("name", F.concat("name", F.lit("/"), F.replace(tail, F.lit("*"), held)).alias("specifier"), "n", "kind", "path")
-    rows = direct.select("name", "specifier", "n", "kind", "path").union(starred)
+    # Each name itself has a row, with or without paths.
+    lone = named.select("name", F.col("name").alias("specifier"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("path"))
+    rows = direct.select("name", "specifier", "n", "kind", "path").union(starred).union(lone)
 
     def paths(test: Column) -> Column:
         ordered = F.array_sort(F.collect_set(F.when(test, F.struct("n", "path"))))
         return F.array_distinct(F.transform(ordered, lambda x: x["path"]))
 
-    found = rows.groupBy(F.col("name").alias("package"), "specifier").agg(paths(F.col("kind") != "node_require").alias("esm"), paths(F.col("kind") == "node_require").alias("common_js"))
-    empty = F.expr("cast(array() as array<string>)")
-    lone = named.select(F.col("name").alias("package"), F.col("name").alias("specifier")).distinct().join(found, ["package", "specifier"], "left_anti")
-    return found.union(lone.select("package", "specifier", empty, empty))
+    return rows.groupBy(F.col("name").alias("package"), "specifier").agg(paths(F.col("kind") != "node_require").alias("esm"), paths(F.col("kind") == "node_require").alias("common_js"))
 
 
 def entry_variants(place: Column) -> Column:
@@ -280,18 +281,18 @@ def entry_variants(place: Column) -> Column:
 
 def mapped_entries(entries: DataFrame, files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """``entries(place, ...)`` with path: the first source variant that is a file, or one below the root folder of an output folder."""
-    place = scalars.normal_path(F.col("place"))
-    rows = entries.withColumn("_id", F.xxhash64(*entries.columns))
-    tries = rows.select("_id", F.lit(0).alias("config"), F.posexplode(entry_variants(place)).alias("rank", "path"))
+    rows = entries.withColumn("_place", scalars.normal_path(F.col("place")))
+    places = rows.select("_place").distinct()
+    tries = places.select("_place", F.lit(0).alias("config"), F.posexplode(entry_variants(F.col("_place"))).alias("rank", "path"))
     if configs is not None:
         dirs = configs.where("out_dir is not null and root_dir is not null").select("out_dir", "root_dir", F.col("path").alias("by")).distinct()
-        moved = rows.select("_id", place.alias("place")).select("_id", "place", F.explode(ancestors(F.col("place"))).alias("out_dir")).join(dirs, "out_dir")
-        rest = F.expr("substring(place, length(out_dir) + case when out_dir = '' then 1 else 2 end)")
+        moved = places.select("_place", F.explode(ancestors(F.col("_place"))).alias("out_dir")).join(dirs, "out_dir")
+        rest = F.expr("substring(_place, length(out_dir) + case when out_dir = '' then 1 else 2 end)")
         source = F.when(F.col("root_dir") == "", rest).otherwise(F.concat("root_dir", F.lit("/"), rest))
-        order = F.dense_rank().over(Window.partitionBy("_id").orderBy("by"))
-        tries = tries.union(moved.select("_id", order.alias("config"), F.posexplode(entry_variants(source)).alias("rank", "path")))
-    hit = tries.join(files.select("path"), "path", "left_semi").groupBy("_id").agg(F.min_by("path", F.struct("config", "rank")).alias("path"))
-    return rows.join(hit, "_id").drop("_id")
+        order = F.dense_rank().over(Window.partitionBy("_place").orderBy("by"))
+        tries = tries.union(moved.select("_place", order.alias("config"), F.posexplode(entry_variants(source)).alias("rank", "path")))
+    hit = tries.join(files.select("path").hint("merge"), "path", "left_semi").groupBy("_place").agg(F.min_by("path", F.struct("config", "rank")).alias("path"))
+    return rows.join(hit.hint("merge"), "_place").drop("_place")
 
 
 _CONFIG = pa.schema(

@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from taproot.operators import plugins
+from taproot import catalog_projects
+from taproot.operators import plugins, workspaces
 from taproot.sources import jsfacts, manifests, projects
+from tests.conftest import SMALL
 
 
 def read(text):
@@ -119,6 +121,46 @@ catalog:
         manifests.workspace_packages(read, ["p/*"])
 
 
+def test_module_targets_never_pass_the_driver(spark):
+    rows = [
+        ("package.json", '{"name": "root", "main": "lib/a.js"}'),
+        ("p/package.json", '{"name": "p", "exports": {".": {"require": "./c.cjs", "import": "./m.js"}, "./x": "./x.js", "./k/*": "./lib/*.js"}}'),
+        ("p/q/package.json", '{"name": "@s/q", "exports": {"./*": "./*.mjs"}}'),
+        ("p/none/package.json", '{"name": "none", "main": "gone.js"}'),
+        ("r/package.json", '{"main": "lib/b.js"}'),  # its files are its own, though it has no name
+    ]
+    paths = ["lib/a.ts", "p/c.cts", "p/m.ts", "p/x.js", "p/x.ts", "p/lib/a.tsx", "p/lib/deep/b.js", "p/lib/b.css", "p/q/one.mts", "p/q/two.js", "r/lib/b.js"]
+    packages = manifests.manifests(spark.createDataFrame(rows, "path string, text string"))
+    files = spark.createDataFrame([(x,) for x in paths], "path string")
+    found = manifests.module_targets(packages, files)
+    got = {(r.package, r.specifier): (r.esm, r.common_js) for r in found.collect()}
+    assert got == {
+        ("root", "root"): (["lib/a.ts"], ["lib/a.ts"]),
+        ("p", "p"): (["p/m.ts"], ["p/c.cts"]),
+        ("p", "p/x"): (["p/x.js"], ["p/x.js"]),
+        ("p", "p/k/a"): (["p/lib/a.tsx"], ["p/lib/a.tsx"]),
+        ("p", "p/k/deep/b"): (["p/lib/deep/b.js"], ["p/lib/deep/b.js"]),
+        ("@s/q", "@s/q"): ([], []),
+        ("@s/q", "@s/q/one"): (["p/q/one.mts"], ["p/q/one.mts"]),
+        ("none", "none"): ([], []),
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_nearest_roots_meet_no_distinct(spark):
+    paths = spark.createDataFrame([("a.js",), ("p/x/a.js",), ("p/a.js",), (None,)], "path string")
+    roots = spark.createDataFrame([("p",), ("p",), ("p/x",), ("q",), (None,)], "root string")
+    found = workspaces.nearest(paths, roots)
+    assert sorted(map(tuple, found.collect()), key=str) == [("a.js", None), ("p/a.js", "p"), ("p/x/a.js", "p/x"), (None, None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_manifests_are_read_once_for_module_targets(spark):
+    found = catalog_projects.workspace_module_targets(spark, SMALL)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_profiles_and_configurations_that_can_not_be(spark):
     schema = "name string, parent string, conditions array<string>, world string"
     for rows in ([("a", "b", ["x"], None)], [("a", "b", [], None), ("b", "a", [], None)]):
